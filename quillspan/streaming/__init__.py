@@ -1,0 +1 @@
+"""Structured Streaming queries. Empty: no streaming operator is in scope yet."""

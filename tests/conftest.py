@@ -1,0 +1,55 @@
+import sys
+from pathlib import Path
+
+import duckdb
+import pytest
+from pyspark.sql import SparkSession
+
+sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
+
+TESTDATA = "/root/testdata"
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
+          "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+
+
+@pytest.fixture(scope="session")
+def spark(tmp_path_factory):
+    session = (
+        SparkSession.builder.master("local[8]")
+        .appName("tests")
+        .config("spark.driver.memory", "4g")
+        .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.warehouse.dir", str(tmp_path_factory.mktemp("warehouse")))
+        .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
+        .getOrCreate()
+    )
+    session.sparkContext.setLogLevel("ERROR")
+    yield session
+    session.stop()
+
+
+@pytest.fixture
+def shuffle_joins(spark):
+    """Plan joins as for tables too large to broadcast."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.fixture
+def oracle():
+    """Run SQL in DuckDB over the parquet tables of a directory."""
+
+    def run(directory, sql, tables=TABLES):
+        with duckdb.connect() as con:
+            for name in tables:
+                path = Path(directory) / f"{name}.parquet"
+                source = path / "*.parquet" if path.is_dir() else path
+                con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{source}')")
+            result = con.execute(sql)
+            names = [d[0] for d in result.description]
+            return [dict(zip(names, row)) for row in result.fetchall()]
+
+    return run

@@ -1,0 +1,52 @@
+import random
+
+import pytest
+
+from quillspan.operators.rollup import roll_up, sum_by
+
+
+def brute_force(rows, parents):
+    out = {}
+    for key, value in rows:
+        for parent_key, to in parents:
+            if key is not None and key == parent_key:
+                out.setdefault(to, []).append(value)
+    return {to: sum(kept) if (kept := [v for v in vs if v is not None]) else None for to, vs in out.items()}
+
+
+def rolled(spark, rows, parents):
+    facts = spark.createDataFrame(rows, "k long, v long")
+    lookup = spark.createDataFrame(parents, "pk long, name string")
+    result = roll_up(sum_by(facts, "k"), "k", lookup, "pk", "name").collect()
+    assert len({r.name for r in result}) == len(result)
+    return {r.name: r.v for r in result}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_equals_join_then_group(spark, seed):
+    rng = random.Random(seed)
+    rows = [(rng.choice([None, *range(12)]), rng.choice([None, *range(-9, 9)])) for _ in range(200)]
+    rows += [(3, 1)] * 100
+    # Repeated parent keys, a null target, parents without rows and rows without a parent.
+    parents = [(k, rng.choice(["a", "b", None])) for k in [0, 1, 2, 3, 3, 4, 5, 6, 7, 8, 40]] + [(None, "a")]
+    assert rolled(spark, rows, parents) == brute_force(rows, parents)
+
+
+def test_only_nulls_sum_to_null(spark):
+    assert rolled(spark, [(1, None), (1, None), (2, 5)], [(1, "x"), (2, "y")]) == {"x": None, "y": 5}
+
+
+def test_no_match_is_empty(spark):
+    assert rolled(spark, [(1, 2)], [(9, "x")]) == {}
+
+
+def test_target_may_be_the_parent_key(spark):
+    facts = spark.createDataFrame([(1, 2), (1, 3), (5, 1)], "k long, v long")
+    lookup = spark.createDataFrame([(1,), (2,)], "pk long")
+    assert [tuple(r) for r in roll_up(sum_by(facts, "k"), "k", lookup, "pk", "pk").collect()] == [(1, 5)]
+
+
+def test_target_may_share_the_fact_key_name(spark):
+    facts = spark.createDataFrame([(1, 2), (1, 3)], "k long, v long")
+    lookup = spark.createDataFrame([(1, "z")], "pk long, k string")
+    assert [tuple(r) for r in roll_up(sum_by(facts, "k"), "k", lookup, "pk", "k").collect()] == [("z", 5)]
