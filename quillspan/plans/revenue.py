@@ -24,8 +24,8 @@ def revenue_by_region(
     by_order = sum_by(lines, "l_orderkey")
     by_customer = roll_up(by_order, "l_orderkey", orders, "o_orderkey", "o_custkey")
     by_nation = roll_up(by_customer, "o_custkey", customer, "c_custkey", "c_nationkey")
-    by_region = roll_up(by_nation, "c_nationkey", nation, "n_nationkey", "n_regionkey")
-    by_name = roll_up(by_region, "n_regionkey", region, "r_regionkey", "r_name")
+    places = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+    by_name = roll_up(by_nation, "c_nationkey", places, "n_nationkey", "r_name")
     revenue = F.round(money.to_decimal(F.col("whole"), F.col("rest")), 2).cast("double")
     return by_name.select("r_name", revenue.alias("revenue"), "n_lines").orderBy("r_name")
 
