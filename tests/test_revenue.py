@@ -52,12 +52,13 @@ def test_hot_order_and_customer(spark, oracle, shuffle_joins, tmp_path):
 def test_orphans_nulls_and_repeats(spark, oracle, tmp_path):
     data = {
         "lineitem": (
-            [(1, 10.01, 0.1), (1, 10.01, 0.1), (2, None, 0.1), (3, 5.55, 0.0), (None, 9.0, 0.0), (99, 8.0, 0.0), (4, 1.0, None)],
+            [(1, 10.01, 0.1), (1, 10.01, 0.1), (2, None, 0.1), (3, 5.55, 0.0), (None, 9.0, 0.0), (99, 8.0, 0.0), (4, 1.0, None),
+             (6, 3.0, 0.0), (7, 4.0, 0.0)],
             "l_orderkey long, l_extendedprice double, l_discount double",
         ),
-        "orders": ([(1, 1), (2, 2), (3, 98), (4, 3), (4, 1), (5, None)], "o_orderkey long, o_custkey long"),
-        "customer": ([(1, 1), (2, 2), (3, None)], "c_custkey long, c_nationkey int"),
-        "nation": ([(1, 1), (2, 2), (3, 1)], "n_nationkey int, n_regionkey int"),
+        "orders": ([(1, 1), (2, 2), (3, 98), (4, 3), (4, 1), (5, None), (6, 4), (7, 5)], "o_orderkey long, o_custkey long"),
+        "customer": ([(1, 1), (2, 2), (3, None), (4, 4), (5, 5)], "c_custkey long, c_nationkey int"),
+        "nation": ([(1, 1), (2, 2), (3, 1), (4, 77), (5, None)], "n_nationkey int, n_regionkey int"),
         "region": ([(1, "EAST"), (2, "WEST"), (3, "EMPTY")], "r_regionkey int, r_name string"),
     }
     for name, (values, schema) in data.items():
