@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +22,17 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def let_workers_import(spark: SparkSession) -> None:
+    """Python workers that see this machine's files import this package from where the driver has it.
+
+    On a cluster the package is installed or sent with ``--py-files``; the path is harmless there.
+    """
+    root = str(Path(__file__).resolve().parents[2])
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([*filter(None, paths), root])
+
+
 def set_checkpoint_dir(spark: SparkSession) -> None:
     """Have a folder for checkpoints: the one in ``spark.checkpoint.dir``, which all executors share.
 
