@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from quillspan.llm import packing, quality_rules, sharding, token_counts, url_filters
+from quillspan.llm import packing, quality_rules, sharding, simhash, token_counts, url_filters
 
 QUERIES = {
     "op2_token_counts": token_counts.op2_token_counts,
     "op3_quality_rules": quality_rules.op3_quality_rules,
+    "op7_simhash": simhash.op7_simhash,
     "op8_packing": packing.op8_packing,
     "op9_url_filters": url_filters.op9_url_filters,
     "op10_sharding": sharding.op10_sharding,
