@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from quillspan.llm import packing, pii, quality_rules, sharding, simhash, token_counts, url_filters
+from quillspan.llm import mixing, packing, pii, quality_rules, sharding, simhash, token_counts, url_filters
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
     "op2_token_counts": token_counts.op2_token_counts,
     "op3_quality_rules": quality_rules.op3_quality_rules,
+    "op6_mixing": mixing.op6_mixing,
     "op7_simhash": simhash.op7_simhash,
     "op8_packing": packing.op8_packing,
     "op9_url_filters": url_filters.op9_url_filters,
