@@ -24,7 +24,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -84,17 +83,22 @@ def pack(docs: DataFrame, path: str, capacity: int, end_id: int, group_docs: int
     shared = share(docs.sparkSession, path)
     end = as_bytes([end_id])
 
-    @F.pandas_udf(f"array<struct<{PIECE}>>".replace(" long", ":long"))
-    def pieces(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        words = words_of(shared, as_bytes)
-        for batch in texts:
-            out = []
-            for text in batch:
-                ids = b"".join([*(words.values(text) if text else ()), end])
+    kind = dict(docs.dtypes)["doc_id"]
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = words_of(shared, as_bytes, b"".join)
+        for batch in batches:
+            rows: list[tuple[int, ...]] = []
+            for at, found in enumerate(words.values(t.as_py() for t in batch["text"])):
+                ids = b"".join([*found, end])
                 n = len(ids) // 4
-                cut = range(0, n, capacity)
-                out.append([(s, min(capacity, n - s), zlib.crc32(ids[4 * s : 4 * (s + capacity)]), n) for s in cut])
-            yield pd.Series(out)
+                sums = [zlib.crc32(ids[4 * s : 4 * (s + capacity)]) for s in range(0, n, capacity)]
+                rows += [(at, s, min(capacity, n - s), crc, n, sums[0]) for s, crc in zip(range(0, n, capacity), sums)]
+            columns = np.array(rows, np.int64).reshape(-1, 6).T
+            yield pa.RecordBatch.from_arrays(
+                [batch["doc_id"].take(pa.array(columns[0])), *(pa.array(c) for c in columns[1:])],
+                ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "head"],
+            )
 
     def fill(group: pa.Table) -> pa.Table:
         group = group.sort_by([("ids_crc32", "ascending"), ("doc_id", "ascending"), ("start", "ascending")])
@@ -104,12 +108,11 @@ def pack(docs: DataFrame, path: str, capacity: int, end_id: int, group_docs: int
         return placed.append_column("sequence_id", pa.array(first + sequence)).append_column("offset", pa.array(offset))
 
     parts = max(1, -(-docs.count() // group_docs))
-    cut = docs.select("doc_id", pieces(F.col("text").cast("binary")).alias("pieces"))
-    key = F.xxhash64("doc_id", F.col("pieces")[0]["doc_tokens"], F.col("pieces")[0]["ids_crc32"], F.lit(seed))
-    dealt = cut.select("doc_id", F.pmod(key, F.lit(parts)).alias("part"), F.explode("pieces").alias("piece"))
-    kind = dict(docs.dtypes)["doc_id"]
+    cut = docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(pieces, f"doc_id {kind}, {PIECE}, head long")
+    part = F.pmod(F.xxhash64("doc_id", "doc_tokens", "head", F.lit(seed)), F.lit(parts))
     return (
-        dealt.select("doc_id", "part", "piece.*")
+        cut.withColumn("part", part)
+        .drop("head")
         .groupBy("part")
         .applyInArrow(fill, f"doc_id {kind}, {PIECE}, sequence_id long, offset long")
     )

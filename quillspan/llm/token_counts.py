@@ -26,9 +26,9 @@ def count_tokens(docs: DataFrame, path: str, limit: int, text: str = "text") ->
 
     @F.pandas_udf("long")
     def count(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        words = words_of(shared, len)
+        words = words_of(shared, len, sum)
         for batch in texts:
-            yield pd.Series([sum(words.values(t)) if t else 0 for t in batch], dtype="int64")
+            yield pd.Series([sum(counts) for counts in words.values(batch)], dtype="int64")
 
     raw = F.col(text).cast("binary")
     kept = [c for c in docs.columns if c not in ("n_bytes", "n_tokens", "over_limit")]

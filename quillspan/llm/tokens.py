@@ -21,15 +21,17 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark import Broadcast
 from pyspark.sql import SparkSession
 
 from quillspan.llm.common import let_workers_import
 
-#: Remembered words and pre-tokens per worker; beyond it the worker forgets and starts anew.
-MEMORY_WORDS = 400_000
+#: Words and pre-tokens in each of a worker's two memories; when the newer one is full, the older one is dropped for it.
+MEMORY_WORDS = 600_000
+#: Words looked up at a time.
+CHUNK_WORDS = 50_000
 
 # How this tokenizer cuts lower-case ASCII text without white space.
 _PRE_TOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
@@ -53,45 +55,56 @@ def prove_whole_tokens(json: str) -> dict[str, int]:
 
 
 class Words:
-    """Looks up the value of a word's ids, such as their number, for all words of a text."""
-
-    def __init__(self, json: str, proven: dict[str, int], value: Callable[[list[int]], object]):
-        self.library, self.proven, self.value = _library(json), proven, value
-        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.known: dict[bytes, object] = {}
-        self.pieces: dict[str, list[int]] = {}
-
-    def values(self, text: bytes) -> list:
-        """The value of each word of a text, in order. White space is that of ASCII here; any other is inside words."""
-        words = text.split()
-        new = [w for w in set(words) if w not in self.known]
-        if new:
-            if len(self.known) + len(new) > MEMORY_WORDS:
-                self.known, self.pieces = {}, {}
-                new = list(set(words))
-            self._learn(new)
-        return list(map(self.known.__getitem__, words))
-
-    def _learn(self, words: list[bytes]) -> None:
+    """Looks up the value of a word's ids, such as their number, for all words of a text.
+
+    ``add`` puts the values of a word's pre-tokens together.
+    """
+
+    def __init__(self, json: str, proven: dict[str, int], value: Callable[[list[int]], object], add: Callable[[list], object]):
+        self.library, self.value, self.add = _library(json), value, add
+        self.proven = {s.encode(): value([i]) for s, i in proven.items()}
+        self.special = [t.content[:2].encode() for t in self.library.get_added_tokens_decoder().values()]
+        self.known: dict[bytes, object] = dict(self.proven)
+        self.older: dict[bytes, object] = {}
+
+    def values(self, texts: Iterable[bytes | None]) -> Iterator[list]:
+        """For each text the values of its words, in order. White space is that of ASCII here; any other is inside words."""
+        chunk, size = [], 0
+        for text in texts:
+            chunk.append(text.split() if text else [])
+            size += len(chunk[-1])
+            if size >= CHUNK_WORDS:
+                yield from self._found(chunk)
+                chunk, size = [], 0
+        yield from self._found(chunk)
+
+    def _found(self, chunk: list[list[bytes]]) -> Iterator[list]:
+        if len(self.known) > MEMORY_WORDS:
+            self.known, self.older = dict(self.proven), self.known
+        new = set().union(*chunk).difference(self.known)
+        remembered = [w for w in new if w in self.older]
+        self.known.update((w, self.older[w]) for w in remembered)
+        self._learn(new.difference(remembered))
+        find = self.known.__getitem__
+        return (list(map(find, words)) for words in chunk)
+
+    def _learn(self, words: set[bytes]) -> None:
         cut, to_merge = {}, set()
-        for raw in words:
-            word = raw.decode("utf-8", "replace")
-            if word.isascii() and not any(s[:2] in word for s in self.special):
-                cut[raw] = parts = _PRE_TOKEN.findall(word.lower())
+        for word in words:
+            if word.isascii() and not any(s in word for s in self.special):
+                low = word.lower()
+                cut[word] = parts = [low] if low.isalpha() else [p.encode() for p in _PRE_TOKEN.findall(low.decode())]
             else:
-                cut[raw] = parts = [word]
-            to_merge.update(p for p in parts if p not in self.proven and p not in self.pieces)
+                cut[word] = parts = [word]
+            to_merge.update(p for p in parts if p not in self.known)
         merging = list(to_merge)
-        for piece, e in zip(merging, self.library.encode_batch_fast(merging, add_special_tokens=False)):
-            self.pieces[piece] = e.ids
-        for raw, parts in cut.items():
-            ids: list[int] = []
-            for p in parts:
-                if p in self.proven:
-                    ids.append(self.proven[p])
-                else:
-                    ids.extend(self.pieces[p])
-            self.known[raw] = self.value(ids)
+        texts = [p.decode("utf-8", "replace") for p in merging]
+        for piece, e in zip(merging, self.library.encode_batch_fast(texts, add_special_tokens=False)):
+            self.known[piece] = self.value(e.ids)
+        for word, parts in cut.items():
+            if word not in to_merge:
+                found = [self.known[p] for p in parts]
+                self.known[word] = found[0] if len(found) == 1 else self.add(found)
 
 
 def as_bytes(ids: list[int]) -> bytes:
@@ -107,12 +120,12 @@ def as_bytes(ids: list[int]) -> bytes:
 _workers: dict[tuple, Words] = {}
 
 
-def words_of(shared: Broadcast, value: Callable[[list[int]], object]) -> Words:
+def words_of(shared: Broadcast, value: Callable[[list[int]], object], add: Callable[[list], object]) -> Words:
     """This Python worker's lookup, made once and kept for later tasks."""
     json, proven = shared.value
     key = (len(json), hash(json), value.__name__)
     if key not in _workers:
-        _workers[key] = Words(json, proven, value)
+        _workers[key] = Words(json, proven, value, add)
     return _workers[key]
 
 
