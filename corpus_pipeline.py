@@ -2,14 +2,58 @@
 
 ``STAGES`` lists (name, function); each function takes (spark, docs, sf_dir) and returns
 a DataFrame, which is written and read again as the next one's docs. All stages but the
-last return the columns of documents.
+last return the columns of documents:
+
+1. quality rules: documents that fail the base limits or lie far from their language and
+   source go;
+2. SimHash near-dedup: one document of each group stays, the one with the least id;
+3. PII: personal data is replaced by pseudonyms;
+4. mixing: sources are repeated towards even weights, up to twice, none is cut;
+5. packing: token ids in sequences of at most 2048, one row per piece.
 """
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillspan.llm import mixing, packing, pii, quality_rules, simhash
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the quality rules keep."""
+    return quality_rules.keep_good(docs)
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return simhash.drop_near_duplicates(docs)
+
+
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data under pseudonyms."""
+    out = pii.pseudonymise(docs, pii.KEY, count="n_replaced")
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix has it."""
+    return mixing.mix(docs, max_repeat=mixing.MAX_REPEAT).select("doc.*")
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, with their sequences."""
+    return packing.pack(docs.select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"), capacity=2048, end_id=1)
+
 
-STAGES = []
+STAGES = [
+    ("quality rules", quality_stage),
+    ("simhash near-dedup", near_dedup_stage),
+    ("pii", pii_stage),
+    ("mixing", mixing_stage),
+    ("packing", packing_stage),
+]
 
 #: Robust estimates, fingerprints, keyed permutations and packing aren't SQL; tests compare with brute force.
 ORACLE_SQL = None
