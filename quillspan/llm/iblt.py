@@ -39,7 +39,7 @@ from quillspan.llm.common import broadcast_if_small, cut
 from quillspan.sources.tables import read_table
 
 #: Digests that share a sketch, and how often a failed one is doubled.
-PART, TRIES = 256, 4
+PART, TRIES = 64, 4
 #: Rows of a range of ids, and the quantiles that ranges are cut at.
 RANGE_ROWS, QUANTILES = 2_000, 256
 
@@ -82,47 +82,46 @@ def parts_for(n: Column) -> Column:
 
 def width_for(n: Column) -> Column:
     """Cells in a third of each sketch."""
-    return F.greatest(F.lit(4), _power_of_two(n / parts_for(n) / 2))
+    return F.ceil(n * 0.6 / parts_for(n)).cast("int") + 3
 
 
-def _placed(value: Column, width: Column, seed: int) -> Column:
-    """A digest's number with its three cells. The cells depend on the digest alone, not on the number's sign."""
-    key = F.abs(value)
-    at = [(F.pmod(F.xxhash64(key, F.lit(seed + j)), width.cast("long")) + j * width).cast("int") for j in range(3)]
-    return F.struct(value.alias("v"), *(a.alias(f"p{j}") for j, a in enumerate(at)))
+def _placed(value: Column, width: Column, seed: Column) -> Column:
+    """A digest's number with its cell in each third. The cells depend on the digest alone, not on the number's sign."""
+    at = F.array(*(F.pmod(F.xxhash64(F.abs(value), seed + j), width.cast("long")).cast("int") for j in range(3)))
+    return F.struct(value.alias("v"), at.alias("at"))
 
 
-def _add(cells: Column, placed: Column) -> Column:
-    """``cells`` with a number added to its three cells; they are in order, one in each part."""
-    v, p0, p1, p2 = placed["v"], placed["p0"], placed["p1"], placed["p2"]
-    return F.concat(
-        F.slice(cells, F.lit(1), p0), F.array(cells[p0] + v),
-        F.slice(cells, p0 + 2, p1 - p0 - 1), F.array(cells[p1] + v),
-        F.slice(cells, p1 + 2, p2 - p1 - 1), F.array(cells[p2] + v),
-        F.slice(cells, p2 + 2, F.size(cells) - p2 - 1),
-    )
+def _add(thirds: Column, placed: Column) -> Column:
+    """Three arrays of cells with a number added to one cell of each."""
+    put = lambda cells, at: F.transform(cells, lambda c, i: F.when(i == at, c + placed["v"]).otherwise(c))
+    return F.zip_with(thirds, placed["at"], put)
 
 
-def _sketch(values: Column, width: Column, seed: int) -> Column:
+def _sketch(values: Column, width: Column, seed: Column) -> Column:
     placed = F.transform(values, lambda v: _placed(v, width, seed))
-    return F.reduce(placed, F.array_repeat(_long(0), width * 3), _add)
+    return F.reduce(placed, F.array_repeat(F.array_repeat(_long(0), width), 3), _add)
 
 
 def _dealt(values: Column, part: Column, parts: Column) -> Column:
     return F.filter(values, lambda v: F.shiftright(v, 20).bitwiseAND(parts - 1) == part)
 
 
-def sketch(values: Column, n: Column, seed: int = 0, scale: int = 1) -> Column:
-    """One array of cells per part, for sets of ``n`` digests."""
+def sketch(values: Column, n: Column, attempt: Column | int = 0) -> Column:
+    """Three arrays of cells per part, for sets of ``n`` digests. Each attempt doubles the cells and places digests anew."""
+    attempt = F.lit(attempt) if isinstance(attempt, int) else attempt
+    width = width_for(n) * F.pow(F.lit(2), attempt).cast("int")
     return _let(
-        F.struct(parts_for(n).cast("long").alias("parts"), (width_for(n) * scale).alias("width")),
-        lambda s: F.transform(F.sequence(_long(0), s["parts"] - 1), lambda p: _sketch(_dealt(values, p, s["parts"]), s["width"], seed)),
+        F.struct(parts_for(n).cast("long").alias("parts"), width.alias("width")),
+        lambda s: F.transform(
+            F.sequence(_long(0), s["parts"] - 1), lambda p: _sketch(_dealt(values, p, s["parts"]), s["width"], 3 * attempt)
+        ),
     )
 
 
 def subtract(a: Column, b: Column) -> Column:
     """Cell by cell, for sketches of one size."""
-    return F.zip_with(a, b, lambda x, y: F.zip_with(x, y, lambda u, v: u - v))
+    minus = lambda x, y: F.zip_with(x, y, lambda u, v: u - v)
+    return F.zip_with(a, b, lambda p, q: F.zip_with(p, q, minus))
 
 
 def _single(cell: Column) -> Column:
@@ -133,46 +132,54 @@ def _single(cell: Column) -> Column:
     return F.when(F.shiftright(size, _COUNT) == 1, right).otherwise(F.lit(False))
 
 
-def _peel(cells: Column, seed: int) -> Column:
+def _peel(thirds: Column, seed: Column) -> Column:
     """The digests of one sketch, those subtracted negative; null if cells are left over."""
-    width = F.call_function("div", F.size(cells), F.lit(3)).cast("int")
-    first = F.filter(F.sequence(F.lit(0), F.size(cells) - 1), lambda i: _single(cells[i]))
-    start = F.struct(cells.alias("cells"), first.alias("next"), F.slice(cells, 1, 0).alias("found"))
+    width = F.size(thirds[0])
+    # A cell that holds one digest gives its value, any other null; the values are the list of what can be taken.
+    singles = lambda cells: F.filter(cells, _single)
+    start = F.struct(thirds.alias("cells"), F.flatten(F.transform(thirds, singles)).alias("next"), F.slice(thirds[0], 1, 0).alias("found"))
 
     def step(state: Column, _: Column) -> Column:
-        now, rest = state["cells"], F.slice(state["next"], F.lit(1), F.size(state["next"]) - 1)
-        value = now[state["next"][F.size(state["next"]) - 1]]
+        now, last = state["cells"], F.size(state["next"])
+        rest = F.slice(state["next"], F.lit(1), last - 1)
+        skip = F.struct(now.alias("cells"), rest.alias("next"), state["found"].alias("found"))
 
         def take(placed: Column) -> Column:
-            left = _add(now, F.struct((-placed["v"]).alias("v"), *(placed[f"p{j}"].alias(f"p{j}") for j in range(3))))
-            at = F.array(*(placed[f"p{j}"] for j in range(3)))
-            return _let(left, lambda c: F.struct(
+            there = F.exists(F.zip_with(now, placed["at"], lambda cells, at: cells[at] == placed["v"]), lambda same: same)
+            left = _add(now, F.struct((-placed["v"]).alias("v"), placed["at"].alias("at")))
+            freed = lambda c: F.filter(F.zip_with(c, placed["at"], lambda cells, at: cells[at]), _single)
+            taken = _let(left, lambda c: F.struct(
                 c.alias("cells"),
-                F.concat(rest, F.filter(at, lambda i: _single(c[i]))).alias("next"),
+                F.concat(rest, freed(c)).alias("next"),
                 F.concat(state["found"], F.array(placed["v"])).alias("found"),
             ))
+            return F.when(there, taken).otherwise(skip)
 
-        skip = F.struct(now.alias("cells"), rest.alias("next"), state["found"].alias("found"))
-        taken = F.when(_single(value), _let(_placed(value, width, seed), take)).otherwise(skip)
-        return F.when(F.size(state["next"]) == 0, state).otherwise(taken)
+        taken = _let(_placed(F.element_at(state["next"], last), width, seed), take)
+        return F.when(last == 0, state).otherwise(taken)
 
-    # A cell is put on the list when it gets single, which happens to it but once: so there are no more steps than cells.
-    done = F.reduce(F.sequence(F.lit(1), F.size(cells)), start, step)
-    return _let(done, lambda d: F.when(F.forall(d["cells"], lambda c: c == 0), d["found"]))
+    # A cell gets single once, so the list is no longer in all than there are cells.
+    done = F.reduce(F.sequence(F.lit(1), width * 3), start, step)
+    empty = lambda cells: F.forall(cells, lambda c: c == 0)
+    return _let(done, lambda d: F.when(F.forall(d["cells"], empty), d["found"]))
 
 
-def peel(difference: Column, seed: int = 0) -> Column:
+def peel(difference: Column, attempt: Column | int = 0) -> Column:
     """The digests that two versions don't share; null if any part has cells left over."""
-    peeled = F.transform(difference, lambda cells: _peel(cells, seed))
-    return _let(peeled, lambda found: F.when(~F.exists(found, lambda f: f.isNull()), F.flatten(found)))
+    attempt = F.lit(attempt) if isinstance(attempt, int) else attempt
+    peeled = F.transform(difference, lambda thirds: _peel(thirds, 3 * attempt))
+    # What looked like a digest but wasn't has been put in and taken out again, and is there with both signs.
+    real = lambda found: F.array_except(found, F.transform(found, lambda v: -v))
+    return _let(peeled, lambda found: F.when(~F.exists(found, lambda f: f.isNull()), real(F.flatten(found))))
 
 
 def differing(a: Column, b: Column) -> Column:
     """The digests that only one of two sets has, those of ``b`` negative: by sketches, larger ones on failure."""
     n = F.size(a) + F.size(b)
-    tries = [peel(subtract(sketch(a, n, seed=8 * t, scale=1 << t), sketch(b, n, seed=8 * t, scale=1 << t)), 8 * t) for t in range(TRIES)]
-    exact = F.concat(F.array_except(a, b), F.transform(F.array_except(b, a), lambda v: -v))
-    return F.coalesce(*tries, exact)
+    attempt = lambda t: peel(subtract(sketch(a, n, t), sketch(b, n, t)), t)
+    none = F.lit(None).cast("array<bigint>")
+    tried = F.reduce(F.sequence(F.lit(0), F.lit(TRIES - 1)), none, lambda found, t: F.coalesce(found, attempt(t)))
+    return F.coalesce(tried, F.concat(F.array_except(a, b), F.transform(F.array_except(b, a), lambda v: -v)))
 
 
 def likeness(n_a: Column, n_b: Column, n_differing: Column) -> Column:
@@ -182,7 +189,8 @@ def likeness(n_a: Column, n_b: Column, n_differing: Column) -> Column:
 
 def as_text(cells: Column) -> Column:
     """A sketch as text: hexadecimal cells, parts apart by colons."""
-    return F.array_join(F.transform(cells, lambda part: F.array_join(F.transform(part, lambda c: F.lower(F.hex(c))), ".")), ":")
+    written = lambda part: F.array_join(F.transform(F.flatten(part), lambda c: F.hex(c)), ".")
+    return F.lower(F.array_join(F.transform(cells, written), ":"))
 
 
 def _range_of(rows: DataFrame, place: str) -> Column:
@@ -245,10 +253,11 @@ def op5_iblt(spark, sf_dir: str) -> DataFrame:
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "digests", "next_digests", digests(F.col("edited")).alias("edits")
     )
     a, e, x = F.col("digests"), F.col("edits"), F.col("next_digests")
-    return rows.select(
+    prints = F.transform(F.array(a, e), lambda own: as_text(sketch(own, F.size(own))))
+    near = F.transform(F.array(e, x), lambda other: likeness(F.size(a), F.size(other), F.size(differing(a, other))))
+    found = rows.select("doc_id", "n_chars", "edited_sha256", prints.alias("prints"), near.alias("near"))
+    return found.select(
         "doc_id", "n_chars", "edited_sha256",
-        as_text(sketch(a, F.size(a))).alias("fingerprint"),
-        as_text(sketch(e, F.size(e))).alias("edited_fingerprint"),
-        likeness(F.size(a), F.size(e), F.size(differing(a, e))).alias("near_edited"),
-        likeness(F.size(a), F.size(x), F.size(differing(a, x))).alias("near_next"),
+        F.col("prints")[0].alias("fingerprint"), F.col("prints")[1].alias("edited_fingerprint"),
+        F.col("near")[0].alias("near_edited"), F.col("near")[1].alias("near_next"),
     )
