@@ -7,10 +7,11 @@ and three facts make most of them cheap:
 * offline, every string of the vocabulary that ends a word is given to the library
   alone; those that come back as their own single id are proven whole tokens;
 * a pre-token that is a proven string is that one id, without any merging;
-* only the rest is merged, by the library itself, and remembered by each worker.
+* only the rest is merged, by the library's model, and remembered by each worker.
 
-Words with a character beyond ASCII, or with the start of a special token's text, go to
-the library whole, so its normalisation and its special tokens hold as they are.
+That holds for words of visible ASCII and Latin-1 letters, whose normal form and classes
+are plain. Words with any other character, or with the start of a special token's text,
+go to the library whole, so its normalisation and its special tokens hold as they are.
 
 The tokenizer's file travels as a broadcast value, about 3 MB whatever the data; it is
 never copied into the repository, and its path is a parameter.
@@ -29,12 +30,13 @@ from pyspark.sql import SparkSession
 from quillspan.llm.common import let_workers_import
 
 #: Words and pre-tokens in each of a worker's two memories; when the newer one is full, the older one is dropped for it.
-MEMORY_WORDS = 600_000
+MEMORY_WORDS = 250_000
 #: Words looked up at a time.
 CHUNK_WORDS = 50_000
 
-# How this tokenizer cuts lower-case ASCII text without white space.
-_PRE_TOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+# How this tokenizer cuts lower-case text of visible ASCII and Latin-1 letters, and what that is in any case.
+_PRE_TOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+_PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
 _WORD_END = "</w>"
 
 
@@ -45,6 +47,12 @@ def _library(json: str):
     return Tokenizer.from_str(json)
 
 
+def _bytewise():
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    return ByteLevel(add_prefix_space=False, use_regex=False)
+
+
 def prove_whole_tokens(json: str) -> dict[str, int]:
     """ASCII strings that the tokenizer, given them alone, encodes as one token."""
     tokenizer = _library(json)
@@ -63,7 +71,11 @@ class Words:
     def __init__(self, json: str, proven: dict[str, int], value: Callable[[list[int]], object], add: Callable[[list], object]):
         self.library, self.value, self.add = _library(json), value, add
         self.proven = {s.encode(): value([i]) for s, i in proven.items()}
-        self.special = [t.content[:2].encode() for t in self.library.get_added_tokens_decoder().values()]
+        bytewise = _bytewise()
+        plain = [chr(c) for c in range(256) if _PLAIN.fullmatch(chr(c))]
+        #: How the model writes each character: by the bytes of its UTF-8.
+        self.written = {ord(c): bytewise.pre_tokenize_str(c)[0][0] for c in plain}
+        self.special = [t.content[:2] for t in self.library.get_added_tokens_decoder().values()]
         self.known: dict[bytes, object] = dict(self.proven)
         self.older: dict[bytes, object] = {}
 
@@ -89,22 +101,23 @@ class Words:
         return (list(map(find, words)) for words in chunk)
 
     def _learn(self, words: set[bytes]) -> None:
-        cut, to_merge = {}, set()
+        cut: dict[bytes, list[bytes]] = {}
+        whole = []
         for word in words:
-            if word.isascii() and not any(s in word for s in self.special):
-                low = word.lower()
-                cut[word] = parts = [low] if low.isalpha() else [p.encode() for p in _PRE_TOKEN.findall(low.decode())]
+            text = word.decode("utf-8", "replace")
+            if _PLAIN.fullmatch(text) and not any(s in text for s in self.special):
+                low = text.lower()
+                cut[word] = [p.encode() for p in ([low] if low.isalpha() else _PRE_TOKEN.findall(low))]
             else:
-                cut[word] = parts = [word]
-            to_merge.update(p for p in parts if p not in self.known)
-        merging = list(to_merge)
-        texts = [p.decode("utf-8", "replace") for p in merging]
-        for piece, e in zip(merging, self.library.encode_batch_fast(texts, add_special_tokens=False)):
-            self.known[piece] = self.value(e.ids)
+                whole.append((word, text))
+        merge = self.library.model.tokenize
+        for piece in {p for parts in cut.values() for p in parts}.difference(self.known):
+            self.known[piece] = self.value([t.id for t in merge(piece.decode().translate(self.written))])
         for word, parts in cut.items():
-            if word not in to_merge:
-                found = [self.known[p] for p in parts]
-                self.known[word] = found[0] if len(found) == 1 else self.add(found)
+            found = [self.known[p] for p in parts]
+            self.known[word] = found[0] if len(found) == 1 else self.add(found)
+        for (word, _), e in zip(whole, self.library.encode_batch_fast([text for _, text in whole], add_special_tokens=False)):
+            self.known[word] = self.value(e.ids)
 
 
 def as_bytes(ids: list[int]) -> bytes:
