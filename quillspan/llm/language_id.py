@@ -114,9 +114,6 @@ def text_evidence(text: Column, spark, languages: list[str], model: np.ndarray,
     return score(text)
 
 
-def _vector(make) -> Column:
-    return F.array(*map(make, range(_vector.size)))
-
 
 def _normal(weights: Column) -> Column:
     total = F.aggregate(weights, F.lit(0.0), lambda a, b: a + b)

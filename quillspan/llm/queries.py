@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from quillspan.llm import iblt, mixing, packing, pii, quality_rules, sharding, simhash, token_counts, url_filters
+from quillspan.llm import iblt, language_id, mixing, packing, pii, quality_rules, sharding, simhash, token_counts, url_filters
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
     "op2_token_counts": token_counts.op2_token_counts,
     "op3_quality_rules": quality_rules.op3_quality_rules,
+    "op4_language_id": language_id.op4_language_id,
     "op5_iblt": iblt.op5_iblt,
     "op6_mixing": mixing.op6_mixing,
     "op7_simhash": simhash.op7_simhash,
