@@ -1,6 +1,12 @@
 """Document fingerprints as invertible Bloom lookup sketches, in Spark's built-in functions alone.
 
-A text is the set of its paragraphs' digests; a paragraph is a line, or a sentence of it.
+A text is the set of its paragraphs' digests. Short paragraphs tell versions of a short text
+apart, and a long text needs no more of them: a paragraph is a sentence or line in texts below
+``FINE_CHARS``, and in longer ones a run of sentences that ends where a sentence's hash says so,
+on average twice as long for each doubling of the text. So a text of any length has a few
+dozen digests, all of it counts, and an edit moves no border but those next to it. Two versions are
+compared by the paragraphs of the longer one.
+
 A sketch has three parts of cells. Each digest is added to one cell of each part, as a
 number that holds a count of one above its digest, so a cell is a count and a sum at once.
 Sketches of two versions subtract cell by cell, what they share cancels, and peeling gives
@@ -38,6 +44,8 @@ from pyspark.sql.window import Window
 from quillspan.llm.common import broadcast_if_small, cut
 from quillspan.sources.tables import read_table
 
+#: Texts of fewer characters have a paragraph for each sentence.
+FINE_CHARS = 2_000
 #: Digests that share a sketch, and how often a failed one is doubled.
 PART, TRIES = 64, 4
 #: Rows of a range of ids, and the quantiles that ranges are cut at.
@@ -60,15 +68,28 @@ def _checksum(hashed: Column) -> Column:
     return F.xxhash64(hashed, F.lit(99)).bitwiseAND(_long((1 << _CHECK) - 1))
 
 
-def digests(text: Column) -> Column:
-    """The distinct paragraphs' digests, each with its count of one above."""
+def sentences(text: Column) -> Column:
+    """Hashes of a text's sentences and lines, in order."""
+    pieces = F.split(F.coalesce(text, F.lit("")), r"\n|(?<=[.!?]) ")
+    return F.transform(F.filter(pieces, lambda p: p != ""), lambda p: F.xxhash64(p))
+
+
+def digests(hashes: Column, n_chars: Column) -> Column:
+    """The distinct paragraphs' digests, each with its count of one above, as a text of ``n_chars`` has them."""
+    every = _power_of_two((n_chars + 1) / FINE_CHARS).cast("long")
 
-    def digest(paragraph: Column) -> Column:
-        hashed = F.xxhash64(paragraph).bitwiseAND(_long((1 << (_COUNT - _CHECK)) - 1))
+    def digest(run: Column) -> Column:
+        hashed = run.bitwiseAND(_long((1 << (_COUNT - _CHECK)) - 1))
         return _let(hashed, lambda h: _long(1 << _COUNT) + F.shiftleft(h, _CHECK) + _checksum(h))
 
-    paragraphs = F.filter(F.split(F.coalesce(text, F.lit("")), r"\n|(?<=[.!?]) "), lambda p: p != "")
-    return F.array_distinct(F.transform(paragraphs, digest))
+    def step(state: Column, h: Column) -> Column:
+        run = F.xxhash64(state["run"], h)
+        ended = F.struct(F.concat(state["ended"], F.array(run)).alias("ended"), _long(0).alias("run"))
+        return F.when(F.pmod(h, every) == 0, ended).otherwise(F.struct(state["ended"].alias("ended"), run.alias("run")))
+
+    start = F.struct(F.slice(hashes, 1, 0).alias("ended"), _long(0).alias("run"))
+    last = lambda s: F.when(s["run"] == 0, s["ended"]).otherwise(F.concat(s["ended"], F.array(s["run"])))
+    return F.array_distinct(F.transform(F.reduce(hashes, start, step, last), digest))
 
 
 def _power_of_two(least: Column) -> Column:
@@ -214,7 +235,7 @@ def _range_of(rows: DataFrame, place: str) -> Column:
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """doc_id, text and digests of each document, and ``next_text`` and ``next_digests`` of the one after it."""
+    """doc_id, text and sentences' hashes of each document, and ``next_text`` and ``next_hashes`` of the one after it."""
     tie = F.xxhash64("text")
     place = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)) + F.pmod(tie, _long(1 << 40)))
     keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumns({"tie": tie, "place": place})
@@ -234,12 +255,12 @@ def with_next(docs: DataFrame) -> DataFrame:
     own = F.struct(F.col("range").alias("range"), F.lit(False).alias("guest"))
     guest = F.struct(F.col("above").alias("range"), F.lit(True).alias("guest"))
     put = F.explode(F.when(F.col("above").isNull(), F.array(own)).otherwise(F.array(own, guest)))
-    rows = marked.withColumn("digests", digests(F.col("text"))).select("doc_id", "text", "digests", "place", "tie", put.alias("put"))
+    rows = marked.withColumn("hashes", sentences(F.col("text"))).select("doc_id", "text", "hashes", "place", "tie", put.alias("put"))
     after = Window.partitionBy("range").orderBy("guest", F.desc("place"), F.desc("tie"))
-    led = rows.select("doc_id", "text", "digests", "place", "tie", "put.*").withColumns(
-        {"next_text": F.lead("text").over(after), "next_digests": F.lead("digests").over(after)}
+    led = rows.select("doc_id", "text", "hashes", "place", "tie", "put.*").withColumns(
+        {"next_text": F.lead("text").over(after), "next_hashes": F.lead("hashes").over(after)}
     )
-    return led.filter(~F.col("guest")).select("doc_id", "text", "digests", "next_text", "next_digests")
+    return led.filter(~F.col("guest")).select("doc_id", "text", "hashes", "next_text", "next_hashes")
 
 
 def op5_iblt(spark, sf_dir: str) -> DataFrame:
@@ -248,13 +269,23 @@ def op5_iblt(spark, sf_dir: str) -> DataFrame:
     n = F.length("text")
     half = F.call_function("div", n, F.lit(2)).cast("int")
     edited = F.concat(F.substr(F.col("text"), F.lit(1), n - half), F.substr(F.col("next_text"), F.lit(1), half))
-    rows = docs.withColumns({"n_chars": n.cast("long"), "edited": edited})
+    rows = docs.withColumns({"n_chars": n.cast("long"), "edited": edited, "n_next": F.length("next_text").cast("long")})
     rows = rows.select(
-        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "digests", "next_digests", digests(F.col("edited")).alias("edits")
-    )
-    a, e, x = F.col("digests"), F.col("edits"), F.col("next_digests")
-    prints = F.transform(F.array(a, e), lambda own: as_text(sketch(own, F.size(own))))
-    near = F.transform(F.array(e, x), lambda other: likeness(F.size(a), F.size(other), F.size(differing(a, other))))
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "hashes", "next_hashes", "n_next",
+        F.length("edited").cast("long").alias("n_edited"), sentences(F.col("edited")).alias("edits"),
+    )
+    version = lambda hashes, size: F.struct(F.col(hashes).alias("h"), F.col(size).alias("n"))
+    own, edit, after = version("hashes", "n_chars"), version("edits", "n_edited"), version("next_hashes", "n_next")
+
+    def printed(v: Column) -> Column:
+        return _let(digests(v["h"], v["n"]), lambda d: as_text(sketch(d, F.size(d))))
+
+    def nearness(v: Column) -> Column:
+        longest = F.greatest(F.col("n_chars"), v["n"])
+        both = F.struct(digests(F.col("hashes"), longest).alias("a"), digests(v["h"], longest).alias("b"))
+        return _let(both, lambda p: likeness(F.size(p["a"]), F.size(p["b"]), F.size(differing(p["a"], p["b"]))))
+
+    prints, near = F.transform(F.array(own, edit), printed), F.transform(F.array(edit, after), nearness)
     found = rows.select("doc_id", "n_chars", "edited_sha256", prints.alias("prints"), near.alias("near"))
     return found.select(
         "doc_id", "n_chars", "edited_sha256",
