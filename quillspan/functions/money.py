@@ -19,14 +19,35 @@ CENTS = 100
 SCALE = 10_000
 
 
+#: Largest price whose count of ten-thousandths fits a bigint.
+MOST = 9.2e14
+#: Below this two neighbouring doubles are less than a hundredth apart, so a double names one hundredth.
+FINE = float(1 << 46)
+
+
+def hundredths(value: Column, low: float, high: float, name: str) -> Column:
+    """``value`` as an exact bigint count of hundredths.
+
+    Raises on NaN, infinity, values outside ``low`` to ``high`` and values that aren't a
+    whole hundredth, in the expression itself, whatever ``spark.sql.ansi.enabled`` says.
+    From ``FINE`` on only whole numbers are taken.
+    """
+    nearest = F.rint(value * CENTS)
+    fine = F.abs(value) < FINE
+    exact = F.when(fine, nearest / CENTS == value).otherwise(F.rint(value) == value)
+    count = F.when(fine, nearest.cast("bigint")).otherwise(value.cast("bigint") * CENTS)
+    told = F.concat(F.lit(f"{name} is not a whole hundredth from {low:g} to {high:g}: "), value.cast("string"))
+    # NaN compares above every number, so it fails the range.
+    valid = value.between(low, high) & exact
+    return F.when(value.isNull(), F.lit(None).cast("bigint")).when(valid, count).otherwise(F.raise_error(told).cast("bigint"))
+
+
 def discounted(price: Column, discount: Column) -> Column:
-    """``price * (1 - discount)`` as a bigint count of ten-thousandths.
+    """``price * (1 - discount)`` as a bigint count of ten-thousandths, exactly.
 
-    Both inputs are taken to the nearest hundredth. Prices up to 9.2e14 fit.
+    Prices go up to ``MOST`` either way, discounts from 0 to 1, both in whole hundredths; others raise.
     """
-    cents = F.rint(price * CENTS).cast("bigint")
-    percent_kept = F.lit(CENTS) - F.rint(discount * CENTS).cast("bigint")
-    return cents * percent_kept
+    return hundredths(price, -MOST, MOST, "price") * (F.lit(CENTS) - hundredths(discount, 0.0, 1.0, "discount"))
 
 
 def whole_units(amount: Column) -> Column:

@@ -13,7 +13,7 @@ from quillspan.sources.tables import read_table
 def revenue_by_region(
     lineitem: DataFrame, orders: DataFrame, customer: DataFrame, nation: DataFrame, region: DataFrame
 ) -> DataFrame:
-    """Discounted revenue and line count per region of the buying customer."""
+    """Discounted revenue, to the cent, and line count per region of the buying customer."""
     amount = money.discounted(F.col("l_extendedprice"), F.col("l_discount"))
     lines = lineitem.select("l_orderkey", amount.alias("amount")).select(
         "l_orderkey",
@@ -26,7 +26,7 @@ def revenue_by_region(
     by_nation = roll_up(by_customer, "o_custkey", customer, "c_custkey", "c_nationkey")
     places = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey"))
     by_name = roll_up(by_nation, "c_nationkey", places, "n_nationkey", "r_name")
-    revenue = F.round(money.to_decimal(F.col("whole"), F.col("rest")), 2).cast("double")
+    revenue = F.round(money.to_decimal(F.col("whole"), F.col("rest")), 2).cast("decimal(26,2)")
     return by_name.select("r_name", revenue.alias("revenue"), "n_lines").orderBy("r_name")
 
 

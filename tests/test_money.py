@@ -44,3 +44,23 @@ def test_every_hundredth_survives_the_double(spark):
     cents = spark.range(0, 3_000_000).select((F.col("id") / 100).alias("price"), F.lit(0.0).alias("discount"), "id")
     off = cents.filter(money.discounted(F.col("price"), F.col("discount")) != F.col("id") * 100)
     assert off.count() == 0
+
+
+@pytest.mark.parametrize("ansi", ["true", "false"])
+@pytest.mark.parametrize(
+    ("price", "discount"),
+    [(100.0, 0.125), (100.0, 0.025), (100.0, 0.045), (0.125, 0.0), (float("nan"), 0.0), (float("inf"), 0.0), (-float("inf"), 0.0),
+     (1e16, 0.0), (-1e16, 0.0), (9.0e14 + 0.125, 0.0), (1.0, float("nan")), (1.0, 1.01), (1.0, -0.01)],
+)
+def test_what_cannot_be_summed_exactly_raises(spark, ansi, price, discount):
+    spark.conf.set("spark.sql.ansi.enabled", ansi)
+    try:
+        with pytest.raises(Exception, match="is not a whole hundredth"):
+            split_sum(spark.createDataFrame([(price, discount)], "price double, discount double"))
+    finally:
+        spark.conf.unset("spark.sql.ansi.enabled")
+
+
+def test_large_whole_prices_are_exact(spark):
+    rows = [(900_000_000_000_001.0, 0.0), (-(2.0**46) - 1, 0.5)]
+    assert split_sum(spark.createDataFrame(rows, "price double, discount double")) == exact_sum(rows)

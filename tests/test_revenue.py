@@ -1,12 +1,14 @@
 import re
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 import __spark_entry__ as contract
 from conftest import TESTDATA
 from quillspan.plans.revenue import revenue_by_region, revenue_by_region_from
-from quillspan.sources.tables import read_table
+from quillspan.sources.tables import SCHEMAS, read_table
 
 NAMES = ("lineitem", "orders", "customer", "nation", "region")
 SF = f"{TESTDATA}/sf0.01"
@@ -16,6 +18,16 @@ def rows(df):
     return [row.asDict() for row in df.collect()]
 
 
+def write_tables(spark, directory, data):
+    """Write tables from the columns given, the other declared ones null."""
+    for name, (values, schema) in data.items():
+        table = spark.createDataFrame(values, schema)
+        for field in StructType.fromDDL(SCHEMAS[name]):
+            if field.name not in table.columns:
+                table = table.withColumn(field.name, F.lit(None).cast(field.dataType))
+        table.write.parquet(f"{directory}/{name}.parquet")
+
+
 def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
@@ -61,16 +73,31 @@ def test_orphans_nulls_and_repeats(spark, oracle, tmp_path):
         "nation": ([(1, 1), (2, 2), (3, 1), (4, 77), (5, None)], "n_nationkey int, n_regionkey int"),
         "region": ([(1, "EAST"), (2, "WEST"), (3, "EMPTY")], "r_regionkey int, r_name string"),
     }
-    for name, (values, schema) in data.items():
-        spark.createDataFrame(values, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    write_tables(spark, tmp_path, data)
     want = oracle(tmp_path, contract.oracle_sql()["revenue_by_region"], NAMES)
     assert want == [
-        {"r_name": "EAST", "revenue": 18.02, "n_lines": 3},
+        {"r_name": "EAST", "revenue": Decimal("18.02"), "n_lines": 3},
         {"r_name": "WEST", "revenue": None, "n_lines": 1},
     ]
     assert rows(revenue_by_region_from(spark, str(tmp_path))) == want
 
 
+def test_a_total_beyond_doubles_is_exact(spark, oracle, tmp_path):
+    """90071992547409.93 is not a double."""
+    lines = [(1, 45_000_000_000_000.0, 0.0), (1, 45_000_000_000_000.0, 0.0), (1, 71_992_547_409.93, 0.0)]
+    data = {
+        "lineitem": (lines, "l_orderkey long, l_extendedprice double, l_discount double"),
+        "orders": ([(1, 1)], "o_orderkey long, o_custkey long"),
+        "customer": ([(1, 1)], "c_custkey long, c_nationkey int"),
+        "nation": ([(1, 1)], "n_nationkey int, n_regionkey int"),
+        "region": ([(1, "EAST")], "r_regionkey int, r_name string"),
+    }
+    write_tables(spark, tmp_path, data)
+    want = [{"r_name": "EAST", "revenue": Decimal("90071992547409.93"), "n_lines": 3}]
+    assert rows(revenue_by_region_from(spark, str(tmp_path))) == want
+    assert oracle(tmp_path, contract.oracle_sql()["revenue_by_region"], NAMES) == want
+
+
 def test_scans_read_only_the_columns_used(spark):
     plan = plan_of(revenue_by_region_from(spark, SF))
     read = set(re.findall(r"ReadSchema: struct<([^>]*)>", plan))
