@@ -1,0 +1,77 @@
+"""Temperature mixing against brute force."""
+
+import math
+import random
+from collections import Counter, defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from quillspan.llm.mixing import find_exponent, mix, tokens_of
+
+
+def brute_exponent(totals, max_repeat, target_entropy):
+    shares = [t / sum(totals) for t in totals]
+
+    def fits(a):
+        raw = [p**a for p in shares]
+        weights = [r / sum(raw) for r in raw]
+        entropy, repeat = -sum(w * math.log(w) for w in weights), max(w / p for w, p in zip(weights, shares)) / min(w / p for w, p in zip(weights, shares))
+        return (max_repeat is None or repeat <= max_repeat) and (target_entropy is None or entropy <= target_entropy)
+
+    if fits(0.0):
+        return 0.0
+    low, high = 0.0, 1.0
+    for _ in range(60):
+        middle = (low + high) / 2
+        low, high = (low, middle) if fits(middle) else (middle, high)
+    return high
+
+
+@pytest.mark.parametrize(("repeat", "entropy"), [(2.0, None), (1.0, None), (50.0, None), (None, 1.0), (3.0, 1.2), (None, 0.1)])
+def test_exponent_equals_bisection(spark, repeat, entropy):
+    totals = [5000, 900, 300, 100]
+    frame = spark.createDataFrame([(t / sum(totals),) for t in totals], "share double")
+    assert find_exponent(frame, repeat, entropy) == pytest.approx(brute_exponent(totals, repeat, entropy), abs=1e-8)
+
+
+def test_tokens(spark):
+    texts = [None, "", " ", "a", " a", "a ", "\n a\tb \x0b", "é ü", "a" * 50_000, "a\x85b c"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(tokens_of(F.col("t")).alias("n")).collect()
+    assert [r["n"] for r in rows] == [0, 0, 0, 1, 1, 1, 2, 2, 1, 2]
+
+
+def test_budgets_are_met_and_nothing_is_dropped(spark):
+    rng = random.Random(6)
+    rows, sizes = [], {"hot": 500, "b": 120, "c": 60, None: 40}
+    for source, n in sizes.items():
+        rows += [(len(rows) + i, " ".join(["w"] * rng.randrange(1, 60)), source) for i in range(n)]
+    rows += [(9001, None, "b"), (9002, "", "empty"), (None, "x y", "c"), (5, rows[5][1], "hot")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("copy", F.lit("mine")).repartition(7)
+    mixed = mix(docs, max_repeat=3.0, block_tokens=300).collect()
+    copies = Counter((r["doc"]["doc_id"], r["doc"]["text"], r["doc"]["source"]) for r in mixed)
+    assert set(copies) == {tuple(r) for r in rows} and mixed[0]["doc"]["copy"] == "mine"
+    held, want = defaultdict(int), {}
+    once = defaultdict(int)
+    for d, t, s in rows:
+        once[s] += len((t or "").split())
+    for r in mixed:
+        held[r["doc"]["source"]] += r["tokens"]
+        want[r["doc"]["source"]] = r["repeats"]
+    for s in sizes:
+        assert once[s] * want[s] - 60 <= held[s] <= once[s] * want[s] + 1e-6
+        assert 1 <= want[s] <= 3.0 + 1e-6
+    assert want["hot"] == 1.0 and want[None] == pytest.approx(3.0, abs=1e-4)
+    weights = {r["doc"]["source"]: r["weight"] for r in mixed if r["tokens"]}
+    assert sum(weights.values()) == pytest.approx(1.0)
+    assert copies[9001, None, "b"] == copies[9002, "", "empty"] == 1
+    assert len({(r["position"]["block"], r["copy"]) for r in mixed}) > 40
+
+
+def test_empty_tables_and_refused_parameters(spark):
+    empty = spark.createDataFrame([], "doc_id long, text string, source string")
+    assert mix(empty, max_repeat=2.0).count() == 0
+    nothing = spark.createDataFrame([(1, None, "a"), (2, "", None)], "doc_id long, text string, source string")
+    assert mix(nothing, target_entropy=1.0).count() == 2
+    with pytest.raises(ValueError):
+        mix(empty)
