@@ -229,7 +229,7 @@ def _range_of(rows: DataFrame, place: str) -> Column:
     )
     whole = F.struct(F.lit(0).alias("low"), F.lit(last).alias("high"))
     cut_at = F.reduce(F.array(*map(F.lit, range(max(1, last.bit_length())))), whole, halve, lambda b: b["low"])
-    inside = lambda k: F.coalesce((at - bounds[k]).cast("double") / F.try_element_at(bounds, k + 2).__sub__(bounds[k]), F.lit(0.0))
+    inside = lambda k: F.coalesce((at - bounds[k]).cast("double") / (F.try_element_at(bounds, k + 2) - bounds[k]), F.lit(0.0))
     part = lambda k: F.least(F.greatest(F.floor(inside(k) * slices), _long(0)), _long(slices - 1))
     return _let(cut_at, lambda k: k * _long(slices) + part(k))
 
