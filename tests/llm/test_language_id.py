@@ -1,0 +1,62 @@
+"""Language identification: trained counts, held-out accuracy, evidence and odd rows."""
+
+import random
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from conftest import TESTDATA
+from quillspan.llm import language_id as L
+
+
+def test_trigram_classes_and_page_text():
+    assert len(L.trigram_classes(None)) == len(L.trigram_classes("")) == 0
+    classes = L.trigram_classes("aé")
+    assert len(classes) == 3 and classes.max() < L.BUCKETS and (classes == L.trigram_classes("AÉ")).all()
+    assert L.page_text("<style>a</style><p>b&amp;c<!-- d --><br>e<script>f<g</script>") .split() == ["b&c", "e"]
+    assert L.page_text(None) == ""
+
+
+def test_training_counts_every_text(spark):
+    rows = [("a b c", "x"), ("c d", "y"), ("a b c", "x"), (None, "x"), ("e", None)]
+    languages, model = L.train(spark.createDataFrame(rows, "text string, lang string").repartition(3))
+    assert languages == ["x", "y"]
+    want = np.ones((L.BUCKETS, 2))
+    for text, lang in rows:
+        if text and lang:
+            np.add.at(want, (L.trigram_classes(text), languages.index(lang)), 1)
+    assert np.allclose(model, np.log(want / want.sum(axis=0)), atol=1e-5)
+
+
+def test_held_out_documents_without_a_declaration(spark):
+    docs = spark.read.parquet(f"{TESTDATA}/sf0.01/documents.parquet").filter("n_chars > 100")
+    languages, model = L.train(docs.filter("doc_id % 2 = 0"))
+    rest = docs.filter("doc_id % 2 = 1")
+    none = F.lit(None).cast("string")
+    rows = rest.select("lang", none.alias("declared"), none.alias("suffix"), none.alias("domain"), none.alias("host"),
+                       L.text_evidence(F.col("text"), spark, languages, model, is_html=False).alias("evidence"))
+    judged = L.fuse(rows, languages)
+    assert judged.filter("language = lang").count() >= 0.98 * rest.count()
+
+
+def test_host_prior_and_declaration_decide_where_the_text_does_not(spark):
+    flat, x, y = [0.0, 0.0], [0.0, -20.0], [-20.0, 0.0]
+    rows = [("x.com", "xx", x)] * 40 + [("y.com", "yy", y)] * 40 + [("y.com", None, flat), ("new.com", "xx", flat), (None, None, flat), ("x.com", "yy", x)]
+    frame = spark.createDataFrame([(i, d, "com", h, h, e) for i, (h, d, e) in enumerate(rows)],
+                                  "id int, declared string, suffix string, domain string, host string, evidence array<double>")
+    got = {r["id"]: r["language"] for r in L.fuse(frame.repartition(4), ["x", "y"]).collect()}
+    assert len(got) == len(rows) and got[0] == "x" and got[40] == "y"
+    assert (got[80], got[81], got[83]) == ("y", "x", "x") and got[82] in ("x", "y")
+
+
+def test_query_on_odd_rows(spark, tmp_path):
+    docs = [(1, "la le de que", "fr", "s"), (1, "la le de que", "fr", "s"), (2, None, None, None), (3, "", "en", "s"), (None, "the of and", "en", "t")]
+    pages = [(1, "http://a.fr/", '<html lang="fr"><p>la le de'), (2, None, None), (3, "no", "<html>the of and")]
+    for name, rows, schema in (("documents", docs, "doc_id long, text string, lang string, source string"), ("pages", pages, "page_id long, url string, html string")):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/full/{name}.parquet")
+        spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/empty/{name}.parquet")
+    got = L.op4_language_id(spark, f"{tmp_path}/full").collect()
+    assert len(got) == 8 and all(r["language"] in ("en", "fr") and 0 < r["probability"] <= 1 for r in got)
+    assert {r["language"] for r in got if r["page_id"] == 1} == {"fr"}
+    empty = L.op4_language_id(spark, f"{tmp_path}/empty")
+    assert empty.count() == 0 and empty.columns == L.op4_language_id(spark, f"{tmp_path}/full").columns
