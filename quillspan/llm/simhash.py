@@ -165,16 +165,17 @@ def wide_fingerprint(text: Column) -> Column:
 def wide_links(prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """Links (a, b) between the distinct wide fingerprints ``fp`` of ``prints`` that are within ``WIDE_RADIUS`` bits.
 
-    The members of a bucket with more than ``bucket`` of them meet in smaller buckets instead, one for each 16 bits
-    of the fingerprint, and are compared with the least of each: as many comparisons as members, not pairs.
+    The members of a bucket with more than ``bucket`` of them, and those who ask for it, are compared with the least
+    of all of these; the members meet in smaller buckets too, one for each 16 bits of the fingerprint, and are
+    compared with the least of each: some nine comparisons a member, not one a pair.
     """
     fp, mask = F.col("fp"), F.lit((1 << WIDE_BITS) - 1).cast("long")
     named = lambda name: [fp[f"f{w}"].alias(f"{name}{w}") for w in (0, 1)]
     whole = lambda name: F.struct(F.col(f"{name}0").alias("f0"), F.col(f"{name}1").alias("f1"))
 
-    def key(segment: int, flip: int) -> Column:
+    def key(segment: int, flip: int, words: tuple[Column, ...] = (fp["f0"], fp["f1"])) -> Column:
         word, start = WIDE_SEGMENTS[segment]
-        value = F.shiftrightunsigned(fp[f"f{word}"], start).bitwiseAND(mask)
+        value = F.shiftrightunsigned(words[word], start).bitwiseAND(mask)
         return value.bitwiseXOR(F.lit(flip).cast("long")) + F.lit(segment << WIDE_BITS)
 
     count = range(len(WIDE_SEGMENTS))
@@ -192,7 +193,10 @@ def wide_links(prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
         F.shiftrightunsigned(F.col(f"x{w}"), 16 * c).bitwiseAND(F.lit(0xFFFF).cast("long")) + F.lit((4 * w + c) << 16)
         for w in (0, 1) for c in range(4)
     ]
-    crowd = met.filter("y0 is null").select("x0", "x1", "k", F.explode(F.array(*chunks)).alias("c"))
+    everyone = F.lit(-1).cast("long")
+    member = F.array_contains(F.array(*(key(s, 0, (F.col("x0"), F.col("x1"))) for s in count)), F.col("k"))
+    meets = F.when(member, F.array(everyone, *chunks)).otherwise(F.array(everyone))
+    crowd = met.filter("y0 is null").select("x0", "x1", "k", F.explode(meets).alias("c"))
     least = crowd.groupBy("k", "c").agg(F.min(whole("x")).alias("y")).select("k", "c", F.col("y.f0").alias("y0"), F.col("y.f1").alias("y1"))
     stars = crowd.join(least, ["k", "c"]).filter((whole("y") < whole("x")) & (apart <= WIDE_RADIUS))
     pairs = met.filter("y0 is not null").select(whole("x").alias("a"), whole("y").alias("b"))
