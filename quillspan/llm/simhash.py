@@ -139,7 +139,8 @@ def group_by_fingerprint(prints: DataFrame, radius: int, segments: int) -> DataF
     named = distinct.join(reached, F.col("fp") == F.col("node"), "left").select(
         F.col("fp").alias("key"), F.coalesce("least", "low").alias("component_id")
     )
-    return prints.join(named, F.col("fp") == F.col("key")).select("doc_id", "fp", "component_id")
+    # Written first, so that both sides come to the join straight from a shuffle and many copies of one text can be split there.
+    return prints.join(cut(named), F.col("fp") == F.col("key")).select("doc_id", "fp", "component_id")
 
 
 #: Near-duplicate texts: 128 bits over runs of two words. Texts with 0.8 of their five-word shingles in common differ
