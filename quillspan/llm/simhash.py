@@ -166,42 +166,49 @@ def wide_fingerprint(text: Column) -> Column:
 def wide_links(prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """Links (a, b) between the distinct wide fingerprints ``fp`` of ``prints`` that are within ``WIDE_RADIUS`` bits.
 
-    The members of a bucket with more than ``bucket`` of them, and those who ask for it, are compared with the least
-    of all of these; the members meet in smaller buckets too, one for each 16 bits of the fingerprint, and are
-    compared with the least of each: some nine comparisons a member, not one a pair.
+    Every pair within the radius that has a segment within one bit is linked, be it over third ones. The members of a
+    bucket with more than ``bucket`` of them, and those who ask for it, are compared with the least of all of these first,
+    and members also with the least of each 16 bits of the fingerprint. Then each asker is compared with each member that
+    these links leave in another component: bit counts by the square of a bucket, rows only for what is near and apart.
     """
     fp, mask = F.col("fp"), F.lit((1 << WIDE_BITS) - 1).cast("long")
-    named = lambda name: [fp[f"f{w}"].alias(f"{name}{w}") for w in (0, 1)]
-    whole = lambda name: F.struct(F.col(f"{name}0").alias("f0"), F.col(f"{name}1").alias("f1"))
+    x, y = F.col("x"), F.col("y")
 
-    def key(segment: int, flip: int, words: tuple[Column, ...] = (fp["f0"], fp["f1"])) -> Column:
+    def key(segment: int, flip: int, of: Column = fp) -> Column:
         word, start = WIDE_SEGMENTS[segment]
-        value = F.shiftrightunsigned(words[word], start).bitwiseAND(mask)
+        value = F.shiftrightunsigned(of[f"f{word}"], start).bitwiseAND(mask)
         return value.bitwiseXOR(F.lit(flip).cast("long")) + F.lit(segment << WIDE_BITS)
 
     count = range(len(WIDE_SEGMENTS))
     filed = prints.select("fp", F.explode(F.array(*(key(s, 0) for s in count))).alias("k"))
     full = cut(filed.groupBy("k").count().filter(F.col("count") > bucket).select("k"))
-    none = {f"y{w}": F.lit(None).cast("long") for w in (0, 1)}
-    table = filed.join(full, "k", "left_anti").select("k", *named("y")).unionByName(full.withColumns(none))
+    none = F.lit(None).cast(prints.schema["fp"].dataType)
+    table = filed.join(full, "k", "left_anti").select("k", fp.alias("y")).unionByName(full.withColumn("y", none))
     asked = [key(s, m) for s in count for m in _ball(range(WIDE_BITS), 1)]
-    probes = prints.select(*named("x"), F.explode(F.array(*asked)).alias("k"))
-    apart = sum(F.bit_count(F.col(f"x{w}").bitwiseXOR(F.col(f"y{w}"))) for w in (0, 1))
-    close = (whole("x") < whole("y")) & (apart <= WIDE_RADIUS)
-    met = probes.join(table, "k").filter(F.col("y0").isNull() | close)
-    met = cut(met.select("x0", "x1", "y0", "y1", F.when(F.col("y0").isNull(), F.col("k")).alias("k")).distinct())
+    probes = prints.select(fp.alias("x"), F.explode(F.array(*asked)).alias("k"))
+    near = sum(F.bit_count(x[f"f{w}"].bitwiseXOR(y[f"f{w}"])) for w in (0, 1)) <= WIDE_RADIUS
+    met = probes.join(table, "k").filter(y.isNull() | ((x < y) & near))
+    met = cut(met.select("x", "y", F.when(y.isNull(), F.col("k")).alias("k")).distinct())
     chunks = [
-        F.shiftrightunsigned(F.col(f"x{w}"), 16 * c).bitwiseAND(F.lit(0xFFFF).cast("long")) + F.lit((4 * w + c) << 16)
+        F.shiftrightunsigned(x[f"f{w}"], 16 * c).bitwiseAND(F.lit(0xFFFF).cast("long")) + F.lit((4 * w + c) << 16)
         for w in (0, 1) for c in range(4)
     ]
     everyone = F.lit(-1).cast("long")
-    member = F.array_contains(F.array(*(key(s, 0, (F.col("x0"), F.col("x1"))) for s in count)), F.col("k"))
-    meets = F.when(member, F.array(everyone, *chunks)).otherwise(F.array(everyone))
-    crowd = met.filter("y0 is null").select("x0", "x1", "k", F.explode(meets).alias("c"))
-    least = crowd.groupBy("k", "c").agg(F.min(whole("x")).alias("y")).select("k", "c", F.col("y.f0").alias("y0"), F.col("y.f1").alias("y1"))
-    stars = crowd.join(least, ["k", "c"]).filter((whole("y") < whole("x")) & (apart <= WIDE_RADIUS))
-    pairs = met.filter("y0 is not null").select(whole("x").alias("a"), whole("y").alias("b"))
-    return pairs.union(stars.select(whole("x"), whole("y")).distinct())
+    member = F.array_contains(F.array(*(key(s, 0, x) for s in count)), F.col("k"))
+    crowd = met.filter("y is null").select("x", "k", member.alias("member"))
+    meets = F.when(F.col("member"), F.array(everyone, *chunks)).otherwise(F.array(everyone))
+    meeting = crowd.select("x", "k", F.explode(meets).alias("c"))
+    least = meeting.groupBy("k", "c").agg(F.min("x").alias("y"))
+    stars = meeting.join(least, ["k", "c"]).filter((y < x) & near).select("y", "x")
+    links = cut(met.filter("y is not null").select(x.alias("a"), y.alias("b")).union(stars).distinct())
+    if not full.limit(1).count():
+        return links
+    roots = components(links)
+    placed = cut(crowd.join(roots, x == F.col("node"), "left").select("k", "x", "member", F.coalesce("root", "x").alias("root")))
+    members = placed.filter("member").select("k", x.alias("y"), F.col("root").alias("y_root"))
+    once = ~F.col("member") | (x < y)  # members ask for their own bucket too
+    rest = placed.join(members, "k").filter((F.col("root") != F.col("y_root")) & once & near)
+    return links.union(rest.select(F.least("x", "y"), F.greatest("x", "y")).distinct())
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:

@@ -88,6 +88,30 @@ def test_groups_equal_all_pairs(spark, bucket, monkeypatch):
     assert sorted((str(r["doc_id"]), r["fp"], str(r["component_id"])) for r in got) == want
 
 
+@pytest.mark.parametrize("bucket", [16, 2, 0])
+def test_wide_links_equal_all_pairs(spark, bucket):
+    """Crowds of a common segment, exact or one bit off, whose members are near each other but not near the least one."""
+    rng = random.Random(5)
+    flipped = lambda n, bits: n ^ sum(1 << b for b in bits)
+    outside = range(22, 128)
+    prints = set()
+    for _ in range(6):
+        base = rng.getrandbits(128)
+        for _ in range(12):
+            other = flipped(base, rng.sample(outside, 40))
+            prints |= {other, flipped(other, rng.sample(outside, 14)), flipped(other, [rng.randrange(21), *rng.sample(outside, 13)])}
+    part = lambda n, s: n >> 64 * s[0] + s[1] & ((1 << S.WIDE_BITS) - 1)
+    meet = lambda a, b: any((part(a, s) ^ part(b, s)).bit_count() <= 1 for s in S.WIDE_SEGMENTS)
+    near = [(a, b) for a in prints for b in prints if a < b and (a ^ b).bit_count() <= S.WIDE_RADIUS and meet(a, b)]
+    want = groups(near, prints)
+    rows = [((signed(n & (2**64 - 1)), signed(n >> 64)),) for n in prints]
+    links = S.wide_links(spark.createDataFrame(rows, "fp struct<f0:long,f1:long>"), bucket).collect()
+    whole = lambda v: (v["f0"] & (2**64 - 1)) | (v["f1"] & (2**64 - 1)) << 64
+    got = [(whole(r[0]), whole(r[1])) for r in links]
+    assert all((a ^ b).bit_count() <= S.WIDE_RADIUS for a, b in got)
+    assert groups(got, prints) == want and len(set(want.values())) > 20
+
+
 def test_empty_table_and_refused_parameters(spark):
     empty = spark.createDataFrame([], "doc_id long, fp long")
     assert S.group_by_fingerprint(empty, 2, 2).count() == 0
