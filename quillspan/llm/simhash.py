@@ -26,7 +26,7 @@ read, so other columns can't clash.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillspan.llm.common import LOWER, UPPER, cut, let_workers_import
+from quillspan.llm.common import LOWER, UPPER, broadcast_if_small, cut, let_workers_import
 from quillspan.llm.components import components
 from quillspan.sources.tables import read_table
 
@@ -151,25 +151,66 @@ WIDE_SEEDS, WIDE_WIDTH, WIDE_RADIUS = (42, 43), 2, 16
 WIDE_BITS, WIDE_SEGMENTS = 22, tuple((word, first) for word in (0, 1) for first in (0, 21, 42))
 
 
+#: Near duplicates share this much of their distinct runs of five words, as a fraction.
+ALIKE, ALIKE_WIDTH = (4, 5), 5
+
+
 def wide_fingerprint(text: Column) -> Column:
-    """Two SimHashes of a text with different seeds, as a struct."""
+    """Two SimHashes of a text with different seeds and a hash of its words in order, as a struct: one per distinct text.
+
+    Texts that differ in white space or the case of A-Z only have the same words.
+    """
 
-    @F.pandas_udf("f0 long, f1 long")
+    @F.pandas_udf("f0 long, f1 long, words long")
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in texts:
-            both = [[simhash(shingle_hashes(t or b"", WIDE_WIDTH, seed)) for seed in WIDE_SEEDS] for t in batch]
-            yield pd.DataFrame(both, columns=["f0", "f1"], dtype="int64")
+            rows = []
+            for t in batch:
+                words = b" ".join((t or b"").translate(_LOWER).split())
+                prints = [simhash(shingle_hashes(words, WIDE_WIDTH, seed)) for seed in WIDE_SEEDS]
+                rows.append([*prints, int(np.uint64(xxhash.xxh64_intdigest(words)).astype(np.int64))])
+            yield pd.DataFrame(rows, columns=["f0", "f1", "words"], dtype="int64")
 
     return of(text.cast("binary"))
 
 
-def wide_links(prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
+def shingle_set(text: Column) -> Column:
+    """The distinct hashes of a text's runs of ``ALIKE_WIDTH`` words."""
+
+    @F.pandas_udf("array<long>")
+    def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in texts:
+            yield pd.Series([np.unique(shingle_hashes(t or b"", ALIKE_WIDTH, 42)).view(np.int64) for t in batch], dtype=object)
+
+    return of(text.cast("binary"))
+
+
+def alike(pairs: DataFrame, docs: DataFrame, distinct: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (a, b) of wide fingerprints whose texts share ``ALIKE`` of their runs of words or more.
+
+    ``docs`` has ``id`` and ``text``, ``distinct`` the least id ``low`` of each ``fp``. Only texts in a pair are read as sets.
+    """
+    pairs = cut(pairs)
+    nodes = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
+    wanted = cut(nodes.join(distinct, "fp"))
+    ids = broadcast_if_small(wanted.select(F.col("low").alias("id")).distinct())
+    texts = docs.select("id", "text").join(ids, "id", "left_semi").withColumn("fp", wide_fingerprint(F.col("text")))
+    texts = texts.join(wanted, (F.col("id") == F.col("low")) & (texts["fp"] == wanted["fp"])).select(texts["fp"], "text")
+    sets = cut(texts.dropDuplicates(["fp"]).select("fp", shingle_set(F.col("text")).alias("set")))
+    side = lambda name: sets.select(F.col("fp").alias(name), F.col("set").alias(f"set_{name}"))
+    both = F.size(F.array_intersect("set_a", "set_b"))
+    enough = ALIKE[1] * both >= ALIKE[0] * (F.size("set_a") + F.size("set_b") - both)
+    return pairs.join(side("a"), "a").join(side("b"), "b").filter(enough).select("a", "b")
+
+
+def wide_links(prints: DataFrame, bucket: int = BUCKET, keep: Callable[[DataFrame], DataFrame] = lambda pairs: pairs) -> DataFrame:
     """Links (a, b) between the distinct wide fingerprints ``fp`` of ``prints`` that are within ``WIDE_RADIUS`` bits.
 
     Every pair within the radius that has a segment within one bit is linked, be it over third ones. The members of a
     bucket with more than ``bucket`` of them, and those who ask for it, are compared with the least of all of these first,
     and members also with the least of each 16 bits of the fingerprint. Then each asker is compared with each member that
     these links leave in another component: bit counts by the square of a bucket, rows only for what is near and apart.
+    ``keep`` gives those of some pairs that count as links.
     """
     fp, mask = F.col("fp"), F.lit((1 << WIDE_BITS) - 1).cast("long")
     x, y = F.col("x"), F.col("y")
@@ -200,7 +241,7 @@ def wide_links(prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
     meeting = crowd.select("x", "k", F.explode(meets).alias("c"))
     least = meeting.groupBy("k", "c").agg(F.min("x").alias("y"))
     stars = meeting.join(least, ["k", "c"]).filter((y < x) & near).select("y", "x")
-    links = cut(met.filter("y is not null").select(x.alias("a"), y.alias("b")).union(stars).distinct())
+    links = cut(keep(met.filter("y is not null").select(x.alias("a"), y.alias("b")).union(stars).distinct()))
     if not full.limit(1).count():
         return links
     roots = components(links)
@@ -208,16 +249,20 @@ def wide_links(prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
     members = placed.filter("member").select("k", x.alias("y"), F.col("root").alias("y_root"))
     once = ~F.col("member") | (x < y)  # members ask for their own bucket too
     rest = placed.join(members, "k").filter((F.col("root") != F.col("y_root")) & once & near)
-    return links.union(rest.select(F.least("x", "y"), F.greatest("x", "y")).distinct())
+    return links.union(keep(rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each group of near duplicates: that of the least id (a null id counts as the largest)."""
+    """``docs`` with one row of each group of near duplicates: that of the least id (a null id counts as the largest).
+
+    Groups are the components of pairs that are within ``WIDE_RADIUS`` bits and whose texts are ``ALIKE``.
+    """
     let_workers_import(docs.sparkSession)
     id_ = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
     prints = cut(docs.select(id_.alias("id"), wide_fingerprint(F.col("text")).alias("fp")))
     distinct = cut(prints.groupBy("fp").agg(F.min("id").alias("low")))
-    roots = components(wide_links(distinct.select("fp")))
+    keep = lambda pairs: alike(pairs, docs.select(id_.alias("id"), "text"), distinct)
+    roots = components(wide_links(distinct.select("fp"), keep=keep))
     linked = cut(roots.union(roots.select("root", "root").distinct()))
     placed = linked.join(distinct, F.col("node") == F.col("fp")).select("root", F.struct("low", "fp").alias("first"))
     leaders = placed.groupBy("root").agg(F.min("first").alias("first")).select("first.fp", "first.low")

@@ -144,6 +144,34 @@ def test_one_of_each_group_of_near_copies_stays(spark):
     assert S.drop_near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_near_fingerprints_of_unlike_texts_are_kept(spark):
+    """Many short runs of common words: fingerprints are near, five-word runs below 0.8 in common; some exactly at it."""
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(400)]
+    rows = []
+    for i in range(12):
+        base = rng.sample(words, 300)
+        rows.append((10 * i, " ".join(base)))
+        for j, n in enumerate((9, 10, 4)):
+            changed = list(base)
+            for at in rng.sample(range(5, 295, 6), n):
+                changed[at] = "changed"
+            rows.append((10 * i + 1 + j, " ".join(changed)))
+    rows += [(900, "one"), (901, "ONE"), (902, None), (903, " ")]
+    shingles = {d: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for d, t in rows for w in [(t or "").lower().split()]}
+    similar = lambda a, b: 5 * len(shingles[a] & shingles[b]) >= 4 * len(shingles[a] | shingles[b])
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    bits = {r["doc_id"]: r["fp"] for r in docs.select("doc_id", S.wide_fingerprint(F.col("text")).alias("fp")).collect()}
+    near = lambda a, b: sum(((bits[a][w] ^ bits[b][w]) & (2**64 - 1)).bit_count() for w in (0, 1)) <= S.WIDE_RADIUS
+    close = [(a, b) for a in bits for b in bits if a < b and near(a, b)]
+    alike = [(a, b) for a, b in close if similar(a, b)]
+    assert len(close) > len(alike) + 10
+    kept = {r["doc_id"] for r in S.drop_near_duplicates(docs).collect()}
+    root = groups([(a, b) for a, b in alike], set(bits))
+    assert {root[d] for d in bits} <= kept  # nothing that no similar text stands for is lost
+    assert kept & {900, 901, 902, 903} == {900, 902} and len(kept) < len(rows)
+
+
 def test_ball_sizes():
     assert len(S._ball(range(64), 1)) == 65 and len(S._ball(range(32, 64), 2)) == 1 + 32 + 32 * 31 // 2
     assert np.array(S._ball(range(64), 1), np.int64).dtype == np.int64
