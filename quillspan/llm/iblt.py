@@ -1,11 +1,7 @@
 """Document fingerprints as invertible Bloom lookup sketches, in Spark's built-in functions alone.
 
-A text is the set of its paragraphs' digests. Short paragraphs tell versions of a short text
-apart, and a long text needs no more of them: a paragraph is a sentence or line in texts below
-``FINE_CHARS``, and in longer ones a run of sentences that ends where a sentence's hash says so,
-on average twice as long for each doubling of the text. So a text of any length has a few
-dozen digests, all of it counts, and an edit moves no border but those next to it. Two versions are
-compared by the paragraphs of the longer one.
+A text is the set of its paragraphs' digests. A paragraph is a sentence or line, in texts of any
+length, so an edit changes the digests of the sentences that it touches and no others.
 
 A sketch has three parts of cells. Each digest is added to one cell of each part, as a
 number that holds a count of one above its digest, so a cell is a count and a sum at once.
@@ -44,8 +40,8 @@ from pyspark.sql.window import Window
 from quillspan.llm.common import broadcast_if_small, cut
 from quillspan.sources.tables import read_table
 
-#: Texts of fewer characters have a paragraph for each sentence.
-FINE_CHARS = 2_000
+#: Texts of fewer characters have a paragraph for each sentence: all of them.
+FINE_CHARS = float("inf")
 #: Digests that share a sketch, and how often a failed one is doubled.
 PART, TRIES = 64, 4
 #: Rows of a range of ids, and the quantiles that ranges are cut at.
@@ -74,22 +70,14 @@ def sentences(text: Column) -> Column:
     return F.transform(F.filter(pieces, lambda p: p != ""), lambda p: F.xxhash64(p))
 
 
-def digests(hashes: Column, n_chars: Column) -> Column:
-    """The distinct paragraphs' digests, each with its count of one above, as a text of ``n_chars`` has them."""
-    every = _power_of_two((n_chars + 1) / FINE_CHARS).cast("long")
+def digests(hashes: Column, n_chars: Column | None = None) -> Column:
+    """The distinct paragraphs' digests, each with its count of one above, the same for a text of any ``n_chars``."""
 
-    def digest(run: Column) -> Column:
-        hashed = run.bitwiseAND(_long((1 << (_COUNT - _CHECK)) - 1))
-        return _let(hashed, lambda h: _long(1 << _COUNT) + F.shiftleft(h, _CHECK) + _checksum(h))
+    def digest(hashed: Column) -> Column:
+        low = hashed.bitwiseAND(_long((1 << (_COUNT - _CHECK)) - 1))
+        return _let(low, lambda h: _long(1 << _COUNT) + F.shiftleft(h, _CHECK) + _checksum(h))
 
-    def step(state: Column, h: Column) -> Column:
-        run = F.xxhash64(state["run"], h)
-        ended = F.struct(F.concat(state["ended"], F.array(run)).alias("ended"), _long(0).alias("run"))
-        return F.when(F.pmod(h, every) == 0, ended).otherwise(F.struct(state["ended"].alias("ended"), run.alias("run")))
-
-    start = F.struct(F.slice(hashes, 1, 0).alias("ended"), _long(0).alias("run"))
-    last = lambda s: F.when(s["run"] == 0, s["ended"]).otherwise(F.concat(s["ended"], F.array(s["run"])))
-    return F.array_distinct(F.transform(F.reduce(hashes, start, step, last), digest))
+    return F.array_distinct(F.transform(hashes, digest))
 
 
 def _power_of_two(least: Column) -> Column:
@@ -123,8 +111,16 @@ def _sketch(values: Column, width: Column, seed: Column) -> Column:
     return F.reduce(placed, F.array_repeat(F.array_repeat(_long(0), width), 3), _add)
 
 
-def _dealt(values: Column, part: Column, parts: Column) -> Column:
-    return F.filter(values, lambda v: F.shiftright(v, 20).bitwiseAND(parts - 1) == part)
+def _dealt(values: Column, parts: Column) -> Column:
+    """An array of ``values`` for each part, dealt in two steps, so that a value is looked at some 2 * sqrt(parts) times."""
+
+    def deal(some: Column, n: Column, shift: Column | int) -> Column:
+        at = lambda v: F.call_function("shiftright", v, shift).bitwiseAND(n - 1)
+        return F.transform(F.sequence(_long(0), n - 1), lambda p: F.filter(some, lambda v: at(v) == p))
+
+    first = _power_of_two(F.sqrt(parts)).cast("long")
+    bits = F.log2(first.cast("double")).cast("int") + 20
+    return F.flatten(F.transform(deal(values, first, F.lit(20)), lambda some: deal(some, F.call_function("div", parts, first), bits)))
 
 
 def sketch(values: Column, n: Column, attempt: Column | int = 0) -> Column:
@@ -133,9 +129,7 @@ def sketch(values: Column, n: Column, attempt: Column | int = 0) -> Column:
     width = width_for(n) * F.pow(F.lit(2), attempt).cast("int")
     return _let(
         F.struct(parts_for(n).cast("long").alias("parts"), width.alias("width")),
-        lambda s: F.transform(
-            F.sequence(_long(0), s["parts"] - 1), lambda p: _sketch(_dealt(values, p, s["parts"]), s["width"], 3 * attempt)
-        ),
+        lambda s: F.transform(_dealt(values, s["parts"]), lambda part: _sketch(part, s["width"], 3 * attempt)),
     )
 
 
@@ -269,21 +263,14 @@ def op5_iblt(spark, sf_dir: str) -> DataFrame:
     n = F.length("text")
     half = F.call_function("div", n, F.lit(2)).cast("int")
     edited = F.concat(F.substr(F.col("text"), F.lit(1), n - half), F.substr(F.col("next_text"), F.lit(1), half))
-    rows = docs.withColumns({"n_chars": n.cast("long"), "edited": edited, "n_next": F.length("next_text").cast("long")})
+    rows = docs.withColumns({"n_chars": n.cast("long"), "edited": edited})
     rows = rows.select(
-        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "hashes", "next_hashes", "n_next",
-        F.length("edited").cast("long").alias("n_edited"), sentences(F.col("edited")).alias("edits"),
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
+        digests(F.col("hashes")).alias("own"), digests(F.col("next_hashes")).alias("after"), digests(sentences(F.col("edited"))).alias("edit"),
     )
-    version = lambda hashes, size: F.struct(F.col(hashes).alias("h"), F.col(size).alias("n"))
-    own, edit, after = version("hashes", "n_chars"), version("edits", "n_edited"), version("next_hashes", "n_next")
-
-    def printed(v: Column) -> Column:
-        return _let(digests(v["h"], v["n"]), lambda d: as_text(sketch(d, F.size(d))))
-
-    def nearness(v: Column) -> Column:
-        longest = F.greatest(F.col("n_chars"), v["n"])
-        both = F.struct(digests(F.col("hashes"), longest).alias("a"), digests(v["h"], longest).alias("b"))
-        return _let(both, lambda p: likeness(F.size(p["a"]), F.size(p["b"]), F.size(differing(p["a"], p["b"]))))
+    own, edit, after = F.col("own"), F.col("edit"), F.col("after")
+    printed = lambda d: as_text(sketch(d, F.size(d)))
+    nearness = lambda d: likeness(F.size("own"), F.size(d), F.size(differing(own, d)))
 
     prints, near = F.transform(F.array(own, edit), printed), F.transform(F.array(edit, after), nearness)
     found = rows.select("doc_id", "n_chars", "edited_sha256", prints.alias("prints"), near.alias("near"))

@@ -90,3 +90,12 @@ def test_peeling_recovers_both_sides(spark, n):
 def test_a_sketch_that_is_too_small_fails_and_a_larger_one_is_tried(spark):
     row = found(spark, list(range(200)), list(range(1000, 1100)))
     assert row["small"] is None and len(row["d"]) == 300
+
+
+@pytest.mark.parametrize("n", [30, 2500])
+def test_a_changed_sentence_counts_the_same_in_texts_of_any_length(spark, tmp_path, n):
+    lines = [f"{i} " + "x" * 60 for i in range(n)]
+    after = [f"new {line}" if i % 25 == 7 else line for i, line in enumerate(lines)]
+    got = {r["doc_id"]: r for r in query(spark, tmp_path, [(2, "\n".join(lines)), (1, "\n".join(after))])}
+    changed = len(range(7, n, 25))
+    assert got[2]["near_next"] == pytest.approx((n - changed) / (n + changed))
