@@ -12,8 +12,9 @@ held as two halves; letters and digits shift within a-z, A-Z and 0-9.
 
 Kinds: card numbers of 13 to 19 digits (first digit kept, check digit recomputed), IPv4
 addresses, North American phone and social security numbers, dates from 1900 to 2099
-(yyyy-mm-dd, yyyy/mm/dd, dd.mm.yyyy), e-mail addresses (domain kept), access keys and
-the values of token, password, secret and api_key assignments. Numbers that fail their
+(yyyy-mm-dd, yyyy/mm/dd, dd.mm.yyyy; also in front of T and a time), e-mail addresses
+(domain kept), access keys and the values of any length of token, password, secret and
+api_key assignments in any case. Numbers that fail their
 check are left alone, but for phone numbers marked as such by +1 or brackets: those with
 a code that can't be assigned are permuted among their like.
 
@@ -36,18 +37,20 @@ from quillspan.sources.tables import read_table
 ROUNDS = 8
 DIGITS = "0123456789"
 
-# Formats. Each begins at a character that is checked first, and has bounded repeats.
+# Formats. Each begins at a character that is checked first, and has bounded or possessive repeats.
 _CARD = r"\d{13,19}|\d{4} \d{4} \d{4} \d{4}|\d{4}-\d{4}-\d{4}-\d{4}"
 _PHONE = r"(?:\+1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}"
 _IP = r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}"
 _SSN = r"\d{3}-\d{2}-\d{4}"
 _DATE = r"\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}\.\d{2}\.\d{4}"
-NUMBERS = rf"(?=[0-9+(])(?<![0-9A-Za-z_+])(?<![0-9][.-])(?:{_CARD}|{_PHONE}|{_IP}|{_SSN}|{_DATE})(?![0-9A-Za-z_])(?![.-][0-9])"
+_NUMBER = rf"(?:{_CARD}|{_PHONE}|{_IP}|{_SSN}|{_DATE})(?![0-9A-Za-z_])(?![.-][0-9])"
+NUMBERS = rf"(?=[0-9+(])(?<![0-9A-Za-z_+])(?<![0-9][.-])(?:{_NUMBER}|(?:{_DATE})(?=T[0-9]))"
 EMAILS = (
     r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+){0,8}?\.[A-Za-z]{2,24}(?![A-Za-z0-9-])"
 )
-SECRETS = r"\bAKIA[A-Z0-9]{16}\b|\b(?:token|password|secret|api_key)[ \t]{0,3}[=:][ \t]{0,3}[\"']?[A-Za-z0-9+/_-]{8,512}"
-_SECRET_PREFIX = r"^((?:(?:token|password|secret|api_key)[ \t]{0,3}[=:][ \t]{0,3}[\"']?)?)"
+_SECRET_WORDS = r"(?i:token|password|secret|api_key)"
+SECRETS = rf"\bAKIA[A-Z0-9]{{16}}\b|\b{_SECRET_WORDS}[ \t]{{0,3}}[=:][ \t]{{0,3}}[\"']?[A-Za-z0-9+/_-]{{8,}}+"
+_SECRET_PREFIX = rf"^((?:{_SECRET_WORDS}[ \t]{{0,3}}[=:][ \t]{{0,3}}[\"']?)?)"
 _FIRST_DAY, _DAYS = "1900-01-01", 365 * 200
 
 
@@ -235,13 +238,6 @@ def _secret(m: Column, key: str, undo: bool) -> Column:
     return F.concat(front, permute_text(F.substr(m, F.length(front) + 1, F.length(m)), key, "secret", undo))
 
 
-def _any(text: Column, words: tuple[str, ...]) -> Column:
-    found = F.contains(text, F.lit(words[0]))
-    for w in words[1:]:
-        found = found | F.contains(text, F.lit(w))
-    return found
-
-
 def _with(replace, key: str, undo: bool):
     return lambda m: replace(m, key, undo)
 
@@ -254,7 +250,7 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", count: str = "n_
     passes = (
         (NUMBERS, _number_of_any_kind, lambda t: t.rlike("[0-9]")),
         (EMAILS, _email, lambda t: F.contains(t, F.lit("@"))),
-        (SECRETS, _secret, lambda t: _any(t, ("AKIA", "token", "password", "secret", "api_key"))),
+        (SECRETS, _secret, lambda t: t.rlike(f"AKIA|{_SECRET_WORDS}")),
     )
     columns = [c for c in docs.columns if c != count]
     now, found, made, total = (fresh(docs, name) for name in ("now", "found", "made", "total"))

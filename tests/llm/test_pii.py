@@ -49,6 +49,19 @@ def test_equal_values_are_linked_in_any_form(spark):
     assert digits[0] == digits[1] == digits[2] and digits[3][-10:] == digits[4]
 
 
+def test_long_secrets_keywords_in_any_case_and_timestamps(spark):
+    long = "aB3" * 700
+    texts = [f"token={long} end", "API_KEY=b7db7aa4a5fcc78305", "Password: b7db7aa4a5fcc78305", "at 2024-02-29T10:00:00Z", "on 2024-02-29", "2024-02-29Tea"]
+    out = replaced(spark, texts)
+    assert [out[i][1] for i in range(6)] == [1, 1, 1, 1, 1, 0]
+    same = sum(a == b for a, b in zip(out[0][0][6:-4][512:], long[512:])) / (len(long) - 512)
+    assert len(out[0][0]) == len(texts[0]) and out[0][0].startswith("token=") and out[0][0].endswith(" end") and same < 0.2
+    assert out[1][0].startswith("API_KEY=") and out[2][0].startswith("Password: ") and "b7db7aa4" not in out[1][0] + out[2][0]
+    assert out[3][0] == f"at {out[4][0][3:]}T10:00:00Z" and "2024-02-29" not in out[3][0]
+    back = replaced(spark, [out[i][0] for i in range(6)], undo=True)
+    assert [back[i][0] for i in range(6)] == texts
+
+
 def test_what_is_no_personal_data_is_left_alone(spark):
     texts = [*LEFT, None, "", " "]
     assert replaced(spark, texts) == {i: (t, 0) for i, t in enumerate(texts)}
