@@ -53,5 +53,5 @@ def test_stages_in_order(spark, tmp_path):
 
 def test_every_operator_has_a_query():
     numbers = sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES)
-    assert numbers == list(range(1, 11)) and set(queries.QUERIES) | {"pipeline"} <= set(contract.queries())
+    assert numbers == list(range(1, 14)) and set(queries.QUERIES) | {"pipeline"} <= set(contract.queries())
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES) and corpus_pipeline.ORACLE_SQL is None
