@@ -238,8 +238,8 @@ def _smallest_periods(rows: np.ndarray) -> np.ndarray:
 def collapse(text: bytes | None) -> tuple[np.ndarray, bytes]:
     """A text's runs, and its words, joined by a space, without those behind the first period of any run."""
     words = text.split() if text else []
-    ids: dict[bytes, int] = {}
-    numbers = np.fromiter((ids.setdefault(w, len(ids)) for w in words), np.int64, len(words))
+    ids = dict(zip(dict.fromkeys(words), range(len(words))))
+    numbers = np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
     runs = runs_of(numbers)
     if not len(runs):
         return runs, b" ".join(words)
