@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillspan.llm import iblt, language_id, mixing, packing, pii, quality_rules, runs, sharding, simhash, token_counts, url_filters
+from quillspan.llm import iblt, language_id, mixing, packing, pii, quality_classifier, quality_rules, runs, sharding, simhash, spelling, token_counts, url_filters
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_packing": packing.op8_packing,
     "op9_url_filters": url_filters.op9_url_filters,
     "op10_sharding": sharding.op10_sharding,
+    "op11_quality_classifier": quality_classifier.op11_quality_classifier,
+    "op12_spelling": spelling.op12_spelling,
     "op13_periodic_runs": runs.op13_periodic_runs,
 }
 

@@ -111,9 +111,9 @@ class Extensions:
         order = np.empty(m, np.int64)
         order[self.rank] = np.arange(m)
         a, b = order[:-1].copy(), order[1:].copy()
-        blocks, live = np.zeros(max(0, m - 1), np.int64), np.ones(max(0, m - 1), bool)
+        blocks = np.zeros(max(0, m - 1), np.int64)
         for level in range(len(levels) - 1, -1, -1):
-            inside = np.nonzero(live & (a < m) & (b < m))[0]
+            inside = np.nonzero((a < m) & (b < m))[0]
             same = inside[levels[level][a[inside]] == levels[level][b[inside]]]
             step = 1 << level
             blocks[same] += step

@@ -1,0 +1,104 @@
+"""Nearest-neighbour quality scores: accuracy on held-out labels, and votes against brute force."""
+
+import random
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from conftest import TESTDATA
+from quillspan.llm import quality_classifier as Q
+
+
+def test_terms():
+    assert not Q.term_counts(None).any() and not Q.term_counts(b"").any()
+    counts = Q.term_counts(b"a b a b\na b a b\nx x x")
+    assert counts[Q.SHAPES + Q.TRIGRAMS :].tolist() == [2, 7, 8, 1, 11]
+    # Words of other letters and lengths have the same shape; three bytes have no run of four shapes.
+    shape = lambda t: Q.term_counts(t)[: Q.SHAPES].tolist()
+    assert shape(b"The cat, sat.") == shape(b"Some dogs, ran.") != shape(b"THE CAT, SAT.")
+    assert sum(shape(b"a b")) == 0 and Q.term_counts(b"a b")[Q.SHAPES : Q.SHAPES + Q.TRIGRAMS].sum() == 1
+    assert np.isfinite(Q._shares(np.stack([Q.term_counts(t) for t in (b"", b"a", b"word " * 200_000)]))).all()
+
+
+@pytest.mark.parametrize("n", [1, 5, 24, 300])
+def test_votes_equal_brute_force(n):
+    rng = np.random.default_rng(n)
+    cosines, labels = rng.uniform(-1, 1, (40, n)), rng.integers(0, 2, n).astype(float)
+    for row, got in zip(cosines, Q.vote(cosines, labels)):
+        voters = sorted(range(n), key=lambda i: -row[i])[: Q.NEIGHBOURS]
+        weights = [max(row[i], 0) ** Q.SHARPNESS for i in voters]
+        want = (sum(w * labels[i] for w, i in zip(weights, voters)) + Q.PRIOR * labels.mean()) / (sum(weights) + Q.PRIOR)
+        assert got == pytest.approx(want)
+
+
+def test_directions_equal_a_full_decomposition():
+    rng = np.random.default_rng(3)
+    rows = (rng.normal(size=(500, 6)) * [9, 7, 5, 4, 3, 0.1]) @ rng.normal(size=(6, 60)) * (rng.random((500, 60)) < 0.7)
+    rows = rows.astype(np.float32)
+    mean = rows.mean(axis=0)
+    got = Q.directions([(np.nonzero(r)[0], r[np.nonzero(r)[0]]) for r in rows], mean, size=4, rounds=12)
+    want = np.linalg.svd(rows - mean, full_matrices=False)[2][:4].T
+    assert np.allclose(np.abs((got * want).sum(axis=0)), 1, atol=0.02)
+
+
+def test_held_out_labels_are_predicted(spark):
+    directory = f"{TESTDATA}/sf0.01"
+    scored = {r["doc_id"]: r for r in Q.op11_quality_classifier(spark, directory).collect()}
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{directory}/labels.parquet").collect()}
+    assert len(scored) == spark.read.parquet(f"{directory}/documents.parquet").count()
+    assert all(r["held_out"] == (zlib.crc32(str(d).encode()) % 4 == 2) for d, r in scored.items())
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7) for r in scored.values())
+    tested = [(r["score"], labels[d]) for d, r in scored.items() if r["held_out"] and d in labels]
+    good, bad = ([s for s, label in tested if label == k] for k in (1, 0))
+    assert len(bad) >= 5 and np.mean([(s >= 0.7) == label for s, label in tested]) >= 0.97
+    assert np.mean([[g > b for g in good] for b in bad]) >= 0.99
+
+
+def test_held_out_labels_change_nothing(spark, tmp_path):
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice(["ab", "cd", "EF!!"]) for _ in range(30)) for _ in range(60)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/a/documents.parquet")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/b/documents.parquet")
+    labels = [(i, i % 2) for i in range(60)]
+    other = [(i, 1 - q if zlib.crc32(str(i).encode()) % 4 == 2 else q) for i, q in labels]
+    assert labels != other
+    spark.createDataFrame(labels, "doc_id long, quality int").write.parquet(f"{tmp_path}/a/labels.parquet")
+    spark.createDataFrame(other, "doc_id long, quality int").write.parquet(f"{tmp_path}/b/labels.parquet")
+    first, second = ({r["doc_id"]: r["score"] for r in Q.op11_quality_classifier(spark, f"{tmp_path}/{d}").collect()} for d in "ab")
+    assert first == second
+
+
+def test_nulls_repeats_long_texts_and_clashes(spark):
+    junk, clean = "WORD!! " * 30, "some words that are plain and mild. "
+    rows = [(i, clean * (1 + i % 3) if i % 2 else junk + str(i)) for i in range(40)]
+    rows += [(None, clean), (100, None), (100, ""), (101, clean * 20_000), (3, rows[3][1]), (3, junk), *rows[:4]]
+    docs = spark.createDataFrame([(d, t, "mine") for d, t in rows], "doc_id long, text string, score string").repartition(3)
+    labels = spark.createDataFrame([(i, float(i % 2)) for i in range(40)] + [(5, None), (7, 0.0), (999, 1.0)], "doc_id long, label double")
+    few = Q.labelled_texts(docs, labels, 10).collect()
+    assert len(few) == 10 and len({r["mark"] for r in few}) == 10
+    model = Q.fit(docs, labels)
+    assert model.vectors.shape == (len(model.labels), Q.SIZE)
+    # Each row of a labelled id counts for its text; 7 has two labels.
+    by_text = {}
+    for d, t in rows:
+        if d is not None and d < 40:
+            by_text.setdefault(t, []).append(0.5 if d == 7 else float(d % 2))
+    assert sorted(model.labels) == pytest.approx(sorted(np.mean(v) for v in by_text.values()))
+    scored = Q.with_score(docs, model)
+    assert scored.columns == ["doc_id", "text", "score"]
+    got = [tuple(r) for r in scored.collect()]
+    assert sorted(((d, t) for d, t, _ in got), key=str) == sorted(rows, key=str)
+    assert all((s >= 0.5) == (not t.startswith("WORD")) for _, t, s in got if t)
+    one = {t: s for _, t, s in got}
+    assert all(one[t] == pytest.approx(s, abs=1e-6) for _, t, s in got)
+    assert Q.with_score(docs.limit(0), model).count() == 0
+
+
+def test_without_labels_or_documents(spark):
+    none = spark.createDataFrame([], "doc_id long, label double")
+    docs = spark.createDataFrame([(1, "a text"), (2, None)], "doc_id long, text string")
+    assert [r["score"] for r in Q.with_score(docs, Q.fit(docs, none)).collect()] == [0.5, 0.5]
+    empty = docs.filter(F.lit(False))
+    assert Q.with_score(docs, Q.fit(empty, none.union(empty.select("doc_id", F.lit(1.0))))).count() == 2
