@@ -1,26 +1,31 @@
-"""Document fingerprints as invertible Bloom lookup sketches, in Spark's built-in functions alone.
+"""Document fingerprints as foldable invertible Bloom lookup sketches, in Spark's built-in functions alone.
 
 A text is the set of its paragraphs' digests. A paragraph is a sentence or line, in texts of any
 length, so an edit changes the digests of the sentences that it touches and no others.
 
-A sketch has three parts of cells. Each digest is added to one cell of each part, as a
-number that holds a count of one above its digest, so a cell is a count and a sum at once.
-Sketches of two versions subtract cell by cell, what they share cancels, and peeling gives
-the rest: a cell with a single digest (its count is one and the digest's own checksum is right) is
-read and taken out of its other two cells, which may leave those with a single one. If
-cells are left over at the end, sketches twice as large are built and peeled.
-
-A sketch starts with one and a half cells for each digest that may differ, and beyond
-``PART`` digests it is several sketches, each of the digests with like bits, so that an
-update costs the same however long the text.
+A sketch has three thirds of cells, a power of two each. A digest is added to one cell of each third,
+as a number that holds a count of one above its digest, so a cell is a count and a sum at once. The
+cell's place is the low bits of a hash, so a sketch folds to any smaller size: cells whose places
+differ in the bits left out are added. Hence the sketches of any two versions can be brought to
+one size and subtracted cell by cell; what they share cancels, and peeling gives the rest:
+a cell with a single digest (its count is one and the digest's own checksum is right) is read and
+taken out of its other two cells, which may leave those with a single one.
+
+A fingerprint is the smallest sketch, from as many cells in a third as there are digests on, that peels
+by itself; if cells are left over, a sketch twice as large is made. So it holds the whole set, and two
+fingerprints are compared by nothing else: folded to the smaller one's size first; if cells are left over,
+the sets that they hold are put into sketches of the larger size, then twice that, and so on.
+Beyond ``WIDTH`` cells a third is several parts, each of the digests with like bits, so that
+an update costs the same however long the text.
 
 Likeness is what the versions share of what they have together, from the two set sizes
-and the number of recovered digests. After ``TRIES`` sizes the sets are compared directly.
+and the number of recovered digests. After ``TRIES`` sizes the recovered sets are compared directly.
 
 The next document, in descending order of id, comes from ranges of ids that each fit a
-task: cut at quantiles of the ids, and evenly between them. A range's first document is
-put into the range before it as well. Each text is shuffled once, and only the ids are
-read beforehand.
+task: cut at quantiles of the ids, evenly between them, and by a hash of the texts where one id has
+several quantiles. A range's first document is put into the range before it as well; ranges find
+each other in blocks of ``BLOCK_RANGES``. Each text is shuffled once, and only the ids are
+read beforehand. Each text is sketched once, and its sketch goes to the document before it.
 
 Cases: a null text is an empty one, which has no digests; two of those are alike. Repeated
 paragraphs count once. A single document is followed by itself. Null ids come last, in the
@@ -40,15 +45,17 @@ from pyspark.sql.window import Window
 from quillspan.llm.common import broadcast_if_small, cut
 from quillspan.sources.tables import read_table
 
-#: Texts of fewer characters have a paragraph for each sentence: all of them.
-FINE_CHARS = float("inf")
-#: Digests that share a sketch, and how often a failed one is doubled.
-PART, TRIES = 64, 4
-#: Rows of a range of ids, and the quantiles that ranges are cut at.
-RANGE_ROWS, QUANTILES = 2_000, 256
+#: Fewest cells in a third, the most in a third of one part, and how many sizes are tried.
+LEAST, WIDTH, TRIES = 8, 64, 5
+#: Rounds in which what can be read is taken out; more digests than cells leave some over in any number of them.
+ROUNDS = 24
+#: Rows of a range of ids, the quantiles that ranges are cut at, and ranges that find each other at a time.
+RANGE_ROWS, QUANTILES, BLOCK_RANGES = 2_000, 256, 4096
 
 # A digest is 40 bits of hash and 12 of checksum, below a count of one.
 _COUNT, _CHECK = 52, 12
+# Which part a digest is dealt to is told by its bits from this one on.
+_PART_BITS = 20
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -60,6 +67,10 @@ def _long(n: int) -> Column:
     return F.lit(n).cast("long")
 
 
+def _div(a: Column, b: Column | int) -> Column:
+    return F.call_function("div", a, F.lit(b) if isinstance(b, int) else b).cast("int")
+
+
 def _checksum(hashed: Column) -> Column:
     return F.xxhash64(hashed, F.lit(99)).bitwiseAND(_long((1 << _CHECK) - 1))
 
@@ -70,8 +81,8 @@ def sentences(text: Column) -> Column:
     return F.transform(F.filter(pieces, lambda p: p != ""), lambda p: F.xxhash64(p))
 
 
-def digests(hashes: Column, n_chars: Column | None = None) -> Column:
-    """The distinct paragraphs' digests, each with its count of one above, the same for a text of any ``n_chars``."""
+def digests(hashes: Column) -> Column:
+    """The distinct paragraphs' digests, each with its count of one above."""
 
     def digest(hashed: Column) -> Column:
         low = hashed.bitwiseAND(_long((1 << (_COUNT - _CHECK)) - 1))
@@ -84,59 +95,86 @@ def _power_of_two(least: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1), F.ceil(F.log2(F.greatest(least.cast("double"), F.lit(1.0)))).cast("int"))
 
 
-def parts_for(n: Column) -> Column:
-    """Sketches that ``n`` digests are dealt to."""
-    return _power_of_two(n / PART)
+def size_for(n: Column) -> Column:
+    """Cells in a third of the first sketch tried for ``n`` digests."""
+    return F.greatest(_power_of_two(n), F.lit(LEAST))
+
 
+def _width(size: Column) -> Column:
+    return F.least(size, F.lit(WIDTH))
 
-def width_for(n: Column) -> Column:
-    """Cells in a third of each sketch."""
-    return F.ceil(n * 0.6 / parts_for(n)).cast("int") + 3
 
+def _placed(value: Column, width: Column) -> Column:
+    """A digest's number with its cells in one part. They depend on the digest alone, not on the number's sign."""
 
-def _placed(value: Column, width: Column, seed: Column) -> Column:
-    """A digest's number with its cell in each third. The cells depend on the digest alone, not on the number's sign."""
-    at = F.array(*(F.pmod(F.xxhash64(F.abs(value), seed + j), width.cast("long")).cast("int") for j in range(3)))
-    return F.struct(value.alias("v"), at.alias("at"))
+    def cells(hashed: Column) -> Column:
+        at = [j * width + F.shiftrightunsigned(hashed, 20 * j).bitwiseAND((width - 1).cast("long")).cast("int") for j in range(3)]
+        return F.struct(value.alias("v"), *(a.alias(f"p{j}") for j, a in enumerate(at)))
 
+    return _let(F.xxhash64(F.abs(value)), cells)
 
-def _add(thirds: Column, placed: Column) -> Column:
-    """Three arrays of cells with a number added to one cell of each."""
-    put = lambda cells, at: F.transform(cells, lambda c, i: F.when(i == at, c + placed["v"]).otherwise(c))
-    return F.zip_with(thirds, placed["at"], put)
+
+def _add(cells: Column, placed: Column) -> Column:
+    """A part's cells with a number added to its three."""
+    v, (p0, p1, p2) = placed["v"], (placed[f"p{j}"] for j in range(3))
+    return F.concat(
+        F.slice(cells, F.lit(1), p0), F.array(cells[p0] + v),
+        F.slice(cells, p0 + 2, p1 - p0 - 1), F.array(cells[p1] + v),
+        F.slice(cells, p1 + 2, p2 - p1 - 1), F.array(cells[p2] + v),
+        F.slice(cells, p2 + 2, F.size(cells) - p2 - 1),
+    )
 
 
-def _sketch(values: Column, width: Column, seed: Column) -> Column:
-    placed = F.transform(values, lambda v: _placed(v, width, seed))
-    return F.reduce(placed, F.array_repeat(F.array_repeat(_long(0), width), 3), _add)
+def _add_all(cells: Column, values: Column, width: Column) -> Column:
+    return F.reduce(F.transform(values, lambda v: _placed(v, width)), cells, _add)
 
 
 def _dealt(values: Column, parts: Column) -> Column:
     """An array of ``values`` for each part, dealt in two steps, so that a value is looked at some 2 * sqrt(parts) times."""
 
     def deal(some: Column, n: Column, shift: Column | int) -> Column:
-        at = lambda v: F.call_function("shiftright", v, shift).bitwiseAND(n - 1)
-        return F.transform(F.sequence(_long(0), n - 1), lambda p: F.filter(some, lambda v: at(v) == p))
+        at = lambda v: F.call_function("shiftright", v, shift).bitwiseAND((n - 1).cast("long"))
+        return F.transform(F.sequence(F.lit(0), n - 1), lambda p: F.filter(some, lambda v: at(v) == p))
+
+    first = _power_of_two(F.sqrt(parts))
+    second = _div(parts, first)
+    bits = F.log2(second.cast("double")).cast("int") + _PART_BITS
+    dealt = F.flatten(F.transform(deal(values, first, bits), lambda some: deal(some, second, F.lit(_PART_BITS))))
+    return F.when(parts == 1, F.array(values)).otherwise(dealt)
+
 
-    first = _power_of_two(F.sqrt(parts)).cast("long")
-    bits = F.log2(first.cast("double")).cast("int") + 20
-    return F.flatten(F.transform(deal(values, first, F.lit(20)), lambda some: deal(some, F.call_function("div", parts, first), bits)))
+def sketch(values: Column, size: Column) -> Column:
+    """Cells of each part, for digests ``values`` in thirds of ``size`` cells."""
+    width = _width(size)
+    empty = F.array_repeat(_long(0), 3 * width)
+    return F.transform(_dealt(values, _div(size, width)), lambda some: _add_all(empty, some, width))
 
 
-def sketch(values: Column, n: Column, attempt: Column | int = 0) -> Column:
-    """Three arrays of cells per part, for sets of ``n`` digests. Each attempt doubles the cells and places digests anew."""
-    attempt = F.lit(attempt) if isinstance(attempt, int) else attempt
-    width = width_for(n) * F.pow(F.lit(2), attempt).cast("int")
-    return _let(
-        F.struct(parts_for(n).cast("long").alias("parts"), width.alias("width")),
-        lambda s: F.transform(_dealt(values, s["parts"]), lambda part: _sketch(part, s["width"], 3 * attempt)),
+def _plus(a: Column, b: Column) -> Column:
+    return F.zip_with(a, b, lambda x, y: x + y)
+
+
+def fold(sketched: Column, size: Column, to: Column) -> Column:
+    """A sketch of thirds of ``size`` cells as one of ``to`` cells, equal or less."""
+    width, narrow, parts = _width(size), _width(to), _div(to, _width(to))
+    empty = F.array_repeat(_long(0), 3 * width)
+    fewer = F.transform(
+        F.sequence(F.lit(0), parts - 1), lambda p: F.reduce(F.filter(sketched, lambda _, i: i % parts == p), empty, _plus)
     )
+    steps = F.sequence(F.lit(0), _div(width, narrow) - 1)
+
+    def narrowed(cells: Column) -> Column:
+        place = lambda i: _div(i, narrow) * width + i % narrow
+        held = lambda i: F.reduce(steps, _long(0), lambda total, k: total + cells[place(i) + k * narrow])
+        return F.transform(F.sequence(F.lit(0), 3 * narrow - 1), held)
+
+    folded = F.when(width == narrow, fewer).otherwise(F.transform(fewer, narrowed))
+    return F.when(size == to, sketched).otherwise(folded)
 
 
 def subtract(a: Column, b: Column) -> Column:
     """Cell by cell, for sketches of one size."""
-    minus = lambda x, y: F.zip_with(x, y, lambda u, v: u - v)
-    return F.zip_with(a, b, lambda p, q: F.zip_with(p, q, minus))
+    return F.zip_with(a, b, lambda p, q: F.zip_with(p, q, lambda x, y: x - y))
 
 
 def _single(cell: Column) -> Column:
@@ -147,54 +185,63 @@ def _single(cell: Column) -> Column:
     return F.when(F.shiftright(size, _COUNT) == 1, right).otherwise(F.lit(False))
 
 
-def _peel(thirds: Column, seed: Column) -> Column:
-    """The digests of one sketch, those subtracted negative; null if cells are left over."""
-    width = F.size(thirds[0])
-    # A cell that holds one digest gives its value, any other null; the values are the list of what can be taken.
-    singles = lambda cells: F.filter(cells, _single)
-    start = F.struct(thirds.alias("cells"), F.flatten(F.transform(thirds, singles)).alias("next"), F.slice(thirds[0], 1, 0).alias("found"))
+def _peel(cells: Column) -> Column:
+    """The digests of one part, those subtracted negative; null if cells are left over."""
+    width = _div(F.size(cells), 3)
+    singles = lambda now: F.array_distinct(F.filter(now, _single))
+
+    def start(first: Column) -> Column:
+        return F.struct(cells.alias("cells"), first.alias("next"), first.alias("found"))
 
     def step(state: Column, _: Column) -> Column:
-        now, last = state["cells"], F.size(state["next"])
-        rest = F.slice(state["next"], F.lit(1), last - 1)
-        skip = F.struct(now.alias("cells"), rest.alias("next"), state["found"].alias("found"))
-
-        def take(placed: Column) -> Column:
-            there = F.exists(F.zip_with(now, placed["at"], lambda cells, at: cells[at] == placed["v"]), lambda same: same)
-            left = _add(now, F.struct((-placed["v"]).alias("v"), placed["at"].alias("at")))
-            freed = lambda c: F.filter(F.zip_with(c, placed["at"], lambda cells, at: cells[at]), _single)
-            taken = _let(left, lambda c: F.struct(
-                c.alias("cells"),
-                F.concat(rest, freed(c)).alias("next"),
-                F.concat(state["found"], F.array(placed["v"])).alias("found"),
-            ))
-            return F.when(there, taken).otherwise(skip)
-
-        taken = _let(_placed(F.element_at(state["next"], last), width, seed), take)
-        return F.when(last == 0, state).otherwise(taken)
-
-    # A cell gets single once, so the list is no longer in all than there are cells.
-    done = F.reduce(F.sequence(F.lit(1), width * 3), start, step)
-    empty = lambda cells: F.forall(cells, lambda c: c == 0)
-    return _let(done, lambda d: F.when(F.forall(d["cells"], empty), d["found"]))
-
-
-def peel(difference: Column, attempt: Column | int = 0) -> Column:
-    """The digests that two versions don't share; null if any part has cells left over."""
-    attempt = F.lit(attempt) if isinstance(attempt, int) else attempt
-    peeled = F.transform(difference, lambda thirds: _peel(thirds, 3 * attempt))
+        def taken(rest: Column) -> Column:
+            return _let(singles(rest), lambda s: F.struct(rest.alias("cells"), s.alias("next"), F.concat(state["found"], s).alias("found")))
+
+        left = _add_all(state["cells"], F.transform(state["next"], lambda v: -v), width)
+        return F.when(F.size(state["next"]) == 0, state).otherwise(_let(left, taken))
+
+    done = F.reduce(F.sequence(F.lit(1), F.lit(ROUNDS)), _let(singles(cells), start), step)
+    return _let(done, lambda d: F.when(F.forall(d["cells"], lambda c: c == 0), d["found"]))
+
+
+def peel(sketched: Column) -> Column:
+    """The digests that a sketch holds, those subtracted negative; null if any part has cells left over."""
     # What looked like a digest but wasn't has been put in and taken out again, and is there with both signs.
     real = lambda found: F.array_except(found, F.transform(found, lambda v: -v))
+    peeled = F.transform(sketched, _peel)
     return _let(peeled, lambda found: F.when(~F.exists(found, lambda f: f.isNull()), real(F.flatten(found))))
 
 
+def fingerprint(values: Column) -> Column:
+    """Struct of ``size``, ``cells`` and ``digests`` (all of ``values``): the first sketch that peels by itself, of ``TRIES``, or the last."""
+
+    def attempt(t: Column) -> Column:
+        size = size_for(F.size(values)) * F.call_function("shiftleft", F.lit(1), t)
+        made = _let(size, lambda s: F.struct(s.alias("size"), sketch(values, s).alias("cells")))
+        whole = lambda m: (F.size(peel(m["cells"])) == F.size(values)) | (t == TRIES - 1)
+        return _let(made, lambda m: F.when(whole(m), m))
+
+    none = F.lit(None).cast("struct<size:int,cells:array<array<bigint>>>")
+    tried = F.reduce(F.sequence(F.lit(0), F.lit(TRIES - 1)), none, lambda found, t: F.coalesce(found, attempt(t)))
+    return _let(tried, lambda m: F.struct(m["size"].alias("size"), m["cells"].alias("cells"), values.alias("digests")))
+
+
 def differing(a: Column, b: Column) -> Column:
-    """The digests that only one of two sets has, those of ``b`` negative: by sketches, larger ones on failure."""
-    n = F.size(a) + F.size(b)
-    attempt = lambda t: peel(subtract(sketch(a, n, t), sketch(b, n, t)), t)
+    """The digests that only one of two fingerprints holds, those of ``b`` negative: by sketches, larger ones on failure."""
+    own, other = a["digests"], b["digests"]
+    less, more = F.least(a["size"], b["size"]), F.greatest(a["size"], b["size"])
+    at = lambda f, size: F.when(f["size"] == size, f["cells"]).otherwise(sketch(f["digests"], size))
+
+    def attempt(t: Column) -> Column:
+        folded = subtract(fold(a["cells"], a["size"], less), fold(b["cells"], b["size"], less))
+        # Three cells a digest of the smaller can't hold a set that is larger by more than as many.
+        fits = F.abs(F.size(own) - F.size(other)) <= 2 * less
+        larger = _let(more * F.call_function("shiftleft", F.lit(1), t - 1), lambda size: subtract(at(a, size), at(b, size)))
+        return peel(F.when(t > 0, larger).when(fits & (less < more), folded))
+
     none = F.lit(None).cast("array<bigint>")
-    tried = F.reduce(F.sequence(F.lit(0), F.lit(TRIES - 1)), none, lambda found, t: F.coalesce(found, attempt(t)))
-    return F.coalesce(tried, F.concat(F.array_except(a, b), F.transform(F.array_except(b, a), lambda v: -v)))
+    tried = F.reduce(F.sequence(F.lit(0), F.lit(TRIES)), none, lambda found, t: F.coalesce(found, attempt(t)))
+    return F.coalesce(tried, F.concat(F.array_except(own, other), F.transform(F.array_except(other, own), lambda v: -v)))
 
 
 def likeness(n_a: Column, n_b: Column, n_differing: Column) -> Column:
@@ -203,58 +250,76 @@ def likeness(n_a: Column, n_b: Column, n_differing: Column) -> Column:
 
 
 def as_text(cells: Column) -> Column:
-    """A sketch as text: hexadecimal cells, parts apart by colons."""
-    written = lambda part: F.array_join(F.transform(F.flatten(part), lambda c: F.hex(c)), ".")
+    """A sketch as text: hexadecimal cells apart by dots, empty ones left out; parts apart by colons."""
+    written = lambda part: F.array_join(F.transform(part, lambda c: F.when(c == 0, "").otherwise(F.hex(c))), ".")
     return F.lower(F.array_join(F.transform(cells, written), ":"))
 
 
-def _range_of(rows: DataFrame, place: str) -> Column:
-    """A number for a row's range of ``place``, growing with it."""
+def _range_of(rows: DataFrame, place: str, tie: str) -> Column:
+    """A number for a row's range of (``place``, ``tie``), growing with them; ``tie`` is spread evenly."""
     found = rows.agg(F.count(F.lit(1)), F.percentile_approx(place, [k / QUANTILES for k in range(QUANTILES + 1)], 10 * QUANTILES)).first()
     if not found[0]:
         return _long(0)
     cuts, slices = sorted(set(found[1])), max(1, -(-found[0] // (QUANTILES * RANGE_ROWS)))
+    # A place of several quantiles has as many ranges of its own, cut by the tie; then come those of the places above it.
+    own = [slices * found[1].count(c) if found[1].count(c) > 1 else 0 for c in cuts]
+    first = [sum(own[:k]) + slices * k for k in range(len(cuts))]
     at, bounds, last = F.col(place), F.array(*map(_long, cuts)), len(cuts) - 1
     halve = lambda b, _: _let(
-        F.call_function("div", b["low"] + b["high"] + 1, F.lit(2)).cast("int"),
+        _div(b["low"] + b["high"] + 1, 2),
         lambda m: F.when(at >= bounds[m], F.struct(m.alias("low"), b["high"].alias("high"))).otherwise(
             F.struct(b["low"].alias("low"), (m - 1).alias("high"))
         ),
     )
     whole = F.struct(F.lit(0).alias("low"), F.lit(last).alias("high"))
     cut_at = F.reduce(F.array(*map(F.lit, range(max(1, last.bit_length())))), whole, halve, lambda b: b["low"])
-    inside = lambda k: F.coalesce((at - bounds[k]).cast("double") / (F.try_element_at(bounds, k + 2) - bounds[k]), F.lit(0.0))
+    real = lambda c: c.cast("double")  # noqa: E731  ids may be further apart than a long holds
+    inside = lambda k: F.coalesce((real(at) - real(bounds[k])) / (real(F.try_element_at(bounds, k + 2)) - real(bounds[k])), F.lit(0.0))
     part = lambda k: F.least(F.greatest(F.floor(inside(k) * slices), _long(0)), _long(slices - 1))
-    return _let(cut_at, lambda k: k * _long(slices) + part(k))
+    owned, begins = F.array(*map(_long, own)), F.array(*map(_long, first))
+    share = (F.col(tie).cast("double") / float(1 << 64)) + 0.5
+    by_tie = lambda k: F.least(F.greatest(F.floor(share * owned[k]), _long(0)), owned[k] - 1)
+    number = lambda k: F.when((at == bounds[k]) & (owned[k] > 0), begins[k] + by_tie(k)).otherwise(begins[k] + owned[k] + part(k))
+    return _let(cut_at, number)
+
+
+def _with_above(heads: DataFrame) -> DataFrame:
+    """``heads`` (a row per ``range``) with ``above``: the range before it, whose last document is followed by this one's first.
+
+    Documents go down, so that is the range with the next larger number; for the largest one it is the smallest.
+    """
+    heads = cut(heads.withColumn("block", F.floor(F.col("range") / BLOCK_RANGES)))
+    # One row per block of ranges, some 8 million documents.
+    ends = heads.groupBy("block").agg(F.min("range").alias("least"))
+    order = Window.orderBy("block")
+    everywhere = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    onward = F.coalesce(F.lead("least").over(order), F.first("least").over(everywhere))
+    ends = cut(ends.select(F.col("block").alias("of_block"), onward.alias("onward")))
+    inside = F.lead("range").over(Window.partitionBy("block").orderBy("range"))
+    found = heads.withColumn("inside", inside).join(broadcast_if_small(ends), F.col("block") == F.col("of_block"))
+    return found.select("range", "head", F.coalesce("inside", "onward").alias("above"))
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """doc_id, text and sentences' hashes of each document, and ``next_text`` and ``next_hashes`` of the one after it."""
+    """doc_id, text and ``own`` (its fingerprint) of each document, and ``next_text`` and ``next`` of the one after it."""
     tie = F.xxhash64("text")
-    place = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)) + F.pmod(tie, _long(1 << 40)))
+    place = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
     keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumns({"tie": tie, "place": place})
-    ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)) + F.pmod(F.xxhash64(F.lit("")), _long(1 << 40))).alias("place"))
-    if docs.filter("doc_id is null").limit(1).count():
-        ids = keyed
-    number = _range_of(ids, "place")
+    number = _range_of(docs.select(place.alias("place")), "place", "tie")
     ranged = keyed.withColumn("range", number)
-    heads = ranged.groupBy("range").agg(F.max(F.struct("place", "tie")).alias("head"))
-    # One row per range: the range whose last document is followed by this one's first.
-    order = Window.orderBy("range")
-    everywhere = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    above = F.coalesce(F.lead("range").over(order), F.first("range").over(everywhere))
-    heads = cut(heads.select(F.col("range").alias("of"), "head", above.alias("above")))
+    heads = _with_above(ranged.groupBy("range").agg(F.max(F.struct("place", "tie")).alias("head")))
+    heads = cut(heads.select(F.col("range").alias("of"), "head", "above"))
     is_head = (F.col("range") == F.col("of")) & (F.struct("place", "tie") == F.col("head"))
     marked = ranged.join(broadcast_if_small(heads), is_head, "left")
     own = F.struct(F.col("range").alias("range"), F.lit(False).alias("guest"))
     guest = F.struct(F.col("above").alias("range"), F.lit(True).alias("guest"))
     put = F.explode(F.when(F.col("above").isNull(), F.array(own)).otherwise(F.array(own, guest)))
-    rows = marked.withColumn("hashes", sentences(F.col("text"))).select("doc_id", "text", "hashes", "place", "tie", put.alias("put"))
+    rows = marked.select("doc_id", "text", "place", "tie", put.alias("put")).select("doc_id", "text", "place", "tie", "put.*")
+    # Texts move before they are sketched; the window finds them where they are.
+    rows = rows.repartition("range").withColumn("own", fingerprint(digests(sentences(F.col("text")))))
     after = Window.partitionBy("range").orderBy("guest", F.desc("place"), F.desc("tie"))
-    led = rows.select("doc_id", "text", "hashes", "place", "tie", "put.*").withColumns(
-        {"next_text": F.lead("text").over(after), "next_hashes": F.lead("hashes").over(after)}
-    )
-    return led.filter(~F.col("guest")).select("doc_id", "text", "hashes", "next_text", "next_hashes")
+    led = rows.withColumns({"next_text": F.lead("text").over(after), "next": F.lead("own").over(after)})
+    return led.filter(~F.col("guest")).select("doc_id", "text", "own", "next_text", "next")
 
 
 def op5_iblt(spark, sf_dir: str) -> DataFrame:
@@ -263,17 +328,13 @@ def op5_iblt(spark, sf_dir: str) -> DataFrame:
     n = F.length("text")
     half = F.call_function("div", n, F.lit(2)).cast("int")
     edited = F.concat(F.substr(F.col("text"), F.lit(1), n - half), F.substr(F.col("next_text"), F.lit(1), half))
-    rows = docs.withColumns({"n_chars": n.cast("long"), "edited": edited})
-    rows = rows.select(
-        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
-        digests(F.col("hashes")).alias("own"), digests(F.col("next_hashes")).alias("after"), digests(sentences(F.col("edited"))).alias("edit"),
-    )
-    own, edit, after = F.col("own"), F.col("edit"), F.col("after")
-    printed = lambda d: as_text(sketch(d, F.size(d)))
-    nearness = lambda d: likeness(F.size("own"), F.size(d), F.size(differing(own, d)))
-
-    prints, near = F.transform(F.array(own, edit), printed), F.transform(F.array(edit, after), nearness)
-    found = rows.select("doc_id", "n_chars", "edited_sha256", prints.alias("prints"), near.alias("near"))
+    rows = docs.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "own", "next")
+    rows = rows.withColumn("edit", fingerprint(digests(sentences(F.col("edited")))))
+    size = lambda f: F.size(f["digests"])
+    own = F.col("own")
+    near = F.transform(F.array("edit", "next"), lambda other: likeness(size(own), size(other), F.size(differing(own, other))))
+    prints = F.transform(F.array("own", "edit"), lambda f: as_text(f["cells"]))
+    found = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), prints.alias("prints"), near.alias("near"))
     return found.select(
         "doc_id", "n_chars", "edited_sha256",
         F.col("prints")[0].alias("fingerprint"), F.col("prints")[1].alias("edited_fingerprint"),
