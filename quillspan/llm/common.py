@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
-#: Most rows of a table that is sent to every executor, and most bytes its rows are allowed to take there.
-BROADCAST_ROWS = 200_000
+#: Most rows of a table that is sent to every executor, and most bytes that they are reckoned to take there.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
+#: Most rows and bytes of a batch that goes to a Python worker.
+BATCH_ROWS, BATCH_BYTES = 1_000, 16 << 20
 
 
 def lower_ascii(text: Column) -> Column:
@@ -23,14 +25,19 @@ def lower_ascii(text: Column) -> Column:
 
 
 def let_workers_import(spark: SparkSession) -> None:
-    """Python workers that see this machine's files import this package from where the driver has it.
+    """Python workers that see this machine's files import this package from where the driver has it, and get bounded batches.
 
-    On a cluster the package is installed or sent with ``--py-files``; the path is harmless there.
+    On a cluster the package is installed or sent with ``--py-files``; the path is harmless there. A batch is held
+    several times over (in the JVM, as Arrow and as Python's objects), so a session's larger bounds are lowered.
     """
     root = str(Path(__file__).resolve().parents[2])
     paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
     if root not in paths:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([*filter(None, paths), root])
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        if not 0 < int(spark.conf.get(key, "0").removesuffix("b")) <= most:
+            spark.conf.set(key, str(most))
 
 
 def set_checkpoint_dir(spark: SparkSession) -> None:
@@ -54,13 +61,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``most`` rows, else as it is.
+def broadcast_if_small(df: DataFrame, row_bytes: int = 100, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``most`` rows, and ``BROADCAST_BYTES`` at ``row_bytes`` each; else as it is.
 
-    It counts no further than ``most``. Without the hint Spark joins by shuffle and
+    Rows are counted in the tasks. Without the hint Spark joins by shuffle and
     adaptive execution splits the skewed partitions of the other side.
     """
-    return F.broadcast(df) if len(df.select(F.lit(1)).take(most + 1)) <= most else df
+    most = min(most, BROADCAST_BYTES // row_bytes)
+    return F.broadcast(df) if df.count() <= most else df
 
 
 def fresh(df: DataFrame, name: str) -> str:

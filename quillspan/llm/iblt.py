@@ -3,23 +3,22 @@
 A text is the set of its paragraphs' digests. A paragraph is a sentence or line, in texts of any
 length, so an edit changes the digests of the sentences that it touches and no others.
 
-A sketch has three thirds of cells, a power of two each. A digest is added to one cell of each third,
-as a number that holds a count of one above its digest, so a cell is a count and a sum at once. The
-cell's place is the low bits of a hash, so a sketch folds to any smaller size: cells whose places
-differ in the bits left out are added. Hence the sketches of any two versions can be brought to
-one size and subtracted cell by cell; what they share cancels, and peeling gives the rest:
+A sketch has parts, each for the digests with like bits and some ``PART`` of them, so that an update
+costs the same however long the text. A part has three thirds of cells, a power of two each. A digest is
+added to one cell of each third, as a number that holds a count of one above its digest, so a cell is a
+count and a sum at once. Part and cell are low bits of hashes, so a sketch folds to any smaller size:
+cells whose places differ in the bits left out are added. Hence the sketches of any two versions can be
+brought to one size and subtracted cell by cell; what they share cancels, and peeling gives the rest:
 a cell with a single digest (its count is one and the digest's own checksum is right) is read and
 taken out of its other two cells, which may leave those with a single one.
 
-A fingerprint is the smallest sketch, from as many cells in a third as there are digests on, that peels
-by itself; if cells are left over, a sketch twice as large is made. So it holds the whole set, and two
-fingerprints are compared by nothing else: folded to the smaller one's size first; if cells are left over,
-the sets that they hold are put into sketches of the larger size, then twice that, and so on.
-Beyond ``WIDTH`` cells a third is several parts, each of the digests with like bits, so that
-an update costs the same however long the text.
+A part of a fingerprint has the first of ``TRIES`` sizes, each twice the one before, that peels by itself. So it
+holds the whole set, and two fingerprints are compared by nothing else: parts are folded to the smaller one's size
+and subtracted; where cells are left over, the digests that the parts hold are put into parts twice as large,
+and so on. If one fingerprint has fewer parts, what it holds is dealt to as many as the other's.
 
 Likeness is what the versions share of what they have together, from the two set sizes
-and the number of recovered digests. After ``TRIES`` sizes the recovered sets are compared directly.
+and the number of recovered digests. After ``TRIES`` sizes a part's recovered sets are compared directly.
 
 The next document, in descending order of id, comes from ranges of ids that each fit a
 task: cut at quantiles of the ids, evenly between them, and by a hash of the texts where one id has
@@ -45,8 +44,8 @@ from pyspark.sql.window import Window
 from quillspan.llm.common import broadcast_if_small, cut
 from quillspan.sources.tables import read_table
 
-#: Fewest cells in a third, the most in a third of one part, and how many sizes are tried.
-LEAST, WIDTH, TRIES = 8, 64, 5
+#: Digests of a part at most on average, cells in a third of its first size, and how many sizes are tried.
+PART, WIDTH, TRIES = 8, 16, 6
 #: Rounds in which what can be read is taken out; more digests than cells leave some over in any number of them.
 ROUNDS = 24
 #: Rows of a range of ids, the quantiles that ranges are cut at, and ranges that find each other at a time.
@@ -95,100 +94,82 @@ def _power_of_two(least: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1), F.ceil(F.log2(F.greatest(least.cast("double"), F.lit(1.0)))).cast("int"))
 
 
-def size_for(n: Column) -> Column:
-    """Cells in a third of the first sketch tried for ``n`` digests."""
-    return F.greatest(_power_of_two(n), F.lit(LEAST))
+def parts_for(n: Column) -> Column:
+    """Parts of a sketch of ``n`` digests."""
+    return _power_of_two(n / PART)
 
 
-def _width(size: Column) -> Column:
-    return F.least(size, F.lit(WIDTH))
+def _width(cells: Column) -> Column:
+    return F.size(cells[0])
 
 
 def _placed(value: Column, width: Column) -> Column:
-    """A digest's number with its cells in one part. They depend on the digest alone, not on the number's sign."""
-
-    def cells(hashed: Column) -> Column:
-        at = [j * width + F.shiftrightunsigned(hashed, 20 * j).bitwiseAND((width - 1).cast("long")).cast("int") for j in range(3)]
-        return F.struct(value.alias("v"), *(a.alias(f"p{j}") for j, a in enumerate(at)))
-
-    return _let(F.xxhash64(F.abs(value)), cells)
+    """A digest's number with its cell in each third. They depend on the digest alone, not on the number's sign."""
+    at = lambda hashed, j: F.shiftrightunsigned(hashed, 20 * j).bitwiseAND((width - 1).cast("long")).cast("int")
+    return _let(F.xxhash64(F.abs(value)), lambda h: F.struct(value.alias("v"), F.array(*(at(h, j) for j in range(3))).alias("at")))
 
 
 def _add(cells: Column, placed: Column) -> Column:
-    """A part's cells with a number added to its three."""
-    v, (p0, p1, p2) = placed["v"], (placed[f"p{j}"] for j in range(3))
-    return F.concat(
-        F.slice(cells, F.lit(1), p0), F.array(cells[p0] + v),
-        F.slice(cells, p0 + 2, p1 - p0 - 1), F.array(cells[p1] + v),
-        F.slice(cells, p1 + 2, p2 - p1 - 1), F.array(cells[p2] + v),
-        F.slice(cells, p2 + 2, F.size(cells) - p2 - 1),
-    )
+    """A part with a number added to one cell of each third."""
+    put = lambda third, at: F.transform(third, lambda c, i: F.when(i == at, c + placed["v"]).otherwise(c))
+    return F.zip_with(cells, placed["at"], put)
 
 
 def _add_all(cells: Column, values: Column, width: Column) -> Column:
     return F.reduce(F.transform(values, lambda v: _placed(v, width)), cells, _add)
 
 
-def _dealt(values: Column, parts: Column) -> Column:
+def dealt(values: Column, parts: Column) -> Column:
     """An array of ``values`` for each part, dealt in two steps, so that a value is looked at some 2 * sqrt(parts) times."""
 
-    def deal(some: Column, n: Column, shift: Column | int) -> Column:
+    def deal(some: Column, n: Column, shift: Column) -> Column:
         at = lambda v: F.call_function("shiftright", v, shift).bitwiseAND((n - 1).cast("long"))
         return F.transform(F.sequence(F.lit(0), n - 1), lambda p: F.filter(some, lambda v: at(v) == p))
 
-    first = _power_of_two(F.sqrt(parts))
-    second = _div(parts, first)
-    bits = F.log2(second.cast("double")).cast("int") + _PART_BITS
-    dealt = F.flatten(F.transform(deal(values, first, bits), lambda some: deal(some, second, F.lit(_PART_BITS))))
-    return F.when(parts == 1, F.array(values)).otherwise(dealt)
-
+    def twice(s: Column) -> Column:
+        first = _let(s, lambda s: deal(values, s["first"], s["bits"]))
+        return F.flatten(F.transform(first, lambda some: deal(some, s["second"], F.lit(_PART_BITS))))
 
-def sketch(values: Column, size: Column) -> Column:
-    """Cells of each part, for digests ``values`` in thirds of ``size`` cells."""
-    width = _width(size)
-    empty = F.array_repeat(_long(0), 3 * width)
-    return F.transform(_dealt(values, _div(size, width)), lambda some: _add_all(empty, some, width))
+    first = _power_of_two(F.sqrt(parts))
+    steps = _let(first, lambda f: F.struct(f.alias("first"), _div(parts, f).alias("second")))
+    bits = lambda s: F.log2(s["second"].cast("double")).cast("int") + _PART_BITS
+    steps = _let(steps, lambda s: F.struct(s["first"].alias("first"), s["second"].alias("second"), bits(s).alias("bits")))
+    return F.when(parts == 1, F.array(values)).otherwise(_let(steps, twice))
 
 
-def _plus(a: Column, b: Column) -> Column:
-    return F.zip_with(a, b, lambda x, y: x + y)
+def sketch(values: Column, width: Column) -> Column:
+    """Three thirds of ``width`` cells, for the digests ``values`` of a part."""
+    return _add_all(F.array_repeat(F.array_repeat(_long(0), width), 3), values, width)
 
 
-def fold(sketched: Column, size: Column, to: Column) -> Column:
-    """A sketch of thirds of ``size`` cells as one of ``to`` cells, equal or less."""
-    width, narrow, parts = _width(size), _width(to), _div(to, _width(to))
-    empty = F.array_repeat(_long(0), 3 * width)
-    fewer = F.transform(
-        F.sequence(F.lit(0), parts - 1), lambda p: F.reduce(F.filter(sketched, lambda _, i: i % parts == p), empty, _plus)
-    )
-    steps = F.sequence(F.lit(0), _div(width, narrow) - 1)
+def fold(cells: Column, width: Column) -> Column:
+    """A part's cells as thirds of ``width`` cells, as many or fewer."""
 
-    def narrowed(cells: Column) -> Column:
-        place = lambda i: _div(i, narrow) * width + i % narrow
-        held = lambda i: F.reduce(steps, _long(0), lambda total, k: total + cells[place(i) + k * narrow])
-        return F.transform(F.sequence(F.lit(0), 3 * narrow - 1), held)
+    def narrowed(third: Column) -> Column:
+        steps = F.sequence(F.lit(0), _div(F.size(third), width) - 1)
+        return F.transform(F.sequence(F.lit(0), width - 1), lambda i: F.reduce(steps, _long(0), lambda total, k: total + third[i + k * width]))
 
-    folded = F.when(width == narrow, fewer).otherwise(F.transform(fewer, narrowed))
-    return F.when(size == to, sketched).otherwise(folded)
+    return F.when(_width(cells) == width, cells).otherwise(F.transform(cells, narrowed))
 
 
 def subtract(a: Column, b: Column) -> Column:
-    """Cell by cell, for sketches of one size."""
+    """Cell by cell, for parts of one size."""
     return F.zip_with(a, b, lambda p, q: F.zip_with(p, q, lambda x, y: x - y))
 
 
 def _single(cell: Column) -> Column:
     """Whether a cell holds one digest, added or subtracted."""
-    size = F.abs(cell)
-    low = size.bitwiseAND(_long((1 << _COUNT) - 1))
-    right = _checksum(F.shiftright(low, _CHECK)) == low.bitwiseAND(_long((1 << _CHECK) - 1))
-    return F.when(F.shiftright(size, _COUNT) == 1, right).otherwise(F.lit(False))
 
+    def right(size: Column) -> Column:
+        low = size.bitwiseAND(_long((1 << _COUNT) - 1))
+        return _checksum(F.shiftright(low, _CHECK)) == low.bitwiseAND(_long((1 << _CHECK) - 1))
+
+    return F.when(F.shiftright(F.abs(cell), _COUNT) == 1, right(F.abs(cell))).otherwise(F.lit(False))
 
-def _peel(cells: Column) -> Column:
+
+def peel(cells: Column) -> Column:
     """The digests of one part, those subtracted negative; null if cells are left over."""
-    width = _div(F.size(cells), 3)
-    singles = lambda now: F.array_distinct(F.filter(now, _single))
+    singles = lambda now: F.array_distinct(F.flatten(F.transform(now, lambda third: F.filter(third, _single))))
 
     def start(first: Column) -> Column:
         return F.struct(cells.alias("cells"), first.alias("next"), first.alias("found"))
@@ -197,62 +178,74 @@ def _peel(cells: Column) -> Column:
         def taken(rest: Column) -> Column:
             return _let(singles(rest), lambda s: F.struct(rest.alias("cells"), s.alias("next"), F.concat(state["found"], s).alias("found")))
 
-        left = _add_all(state["cells"], F.transform(state["next"], lambda v: -v), width)
+        left = _add_all(state["cells"], F.transform(state["next"], lambda v: -v), _width(cells))
         return F.when(F.size(state["next"]) == 0, state).otherwise(_let(left, taken))
 
+    # What looked like a digest but wasn't has been put in and taken out again, and is there with both signs.
+    real = lambda found: F.array_except(found, F.transform(found, lambda v: -v))
     done = F.reduce(F.sequence(F.lit(1), F.lit(ROUNDS)), _let(singles(cells), start), step)
-    return _let(done, lambda d: F.when(F.forall(d["cells"], lambda c: c == 0), d["found"]))
+    empty = lambda now: F.forall(now, lambda third: F.forall(third, lambda c: c == 0))
+    return _let(done, lambda d: F.when(empty(d["cells"]), real(d["found"])))
 
 
-def peel(sketched: Column) -> Column:
-    """The digests that a sketch holds, those subtracted negative; null if any part has cells left over."""
-    # What looked like a digest but wasn't has been put in and taken out again, and is there with both signs.
-    real = lambda found: F.array_except(found, F.transform(found, lambda v: -v))
-    peeled = F.transform(sketched, _peel)
-    return _let(peeled, lambda found: F.when(~F.exists(found, lambda f: f.isNull()), real(F.flatten(found))))
+def _first_of(tries: Column, attempt: Callable[[Column, Column], Column], kind: str) -> Column:
+    """The first result of ``attempt(t, width)`` that isn't null, over sizes each twice the one before."""
+    width = lambda t: F.lit(WIDTH) * F.call_function("shiftleft", F.lit(1), t)
+    return F.reduce(tries, F.lit(None).cast(kind), lambda found, t: F.coalesce(found, _let(width(t), lambda w: attempt(t, w))))
 
 
 def fingerprint(values: Column) -> Column:
-    """Struct of ``size``, ``cells`` and ``digests`` (all of ``values``): the first sketch that peels by itself, of ``TRIES``, or the last."""
+    """Per part a struct of ``cells``, the first that peel by themselves (or the last tried), and ``digests``, those of ``values`` it holds."""
+
+    def part(some: Column) -> Column:
+        def attempt(t: Column, width: Column) -> Column:
+            whole = lambda cells: (F.size(peel(cells)) == F.size(some)) | (t == TRIES - 1)
+            return _let(sketch(some, width), lambda cells: F.when(whole(cells), cells))
+
+        cells = _first_of(F.sequence(F.lit(0), F.lit(TRIES - 1)), attempt, "array<array<bigint>>")
+        return F.struct(cells.alias("cells"), some.alias("digests"))
 
-    def attempt(t: Column) -> Column:
-        size = size_for(F.size(values)) * F.call_function("shiftleft", F.lit(1), t)
-        made = _let(size, lambda s: F.struct(s.alias("size"), sketch(values, s).alias("cells")))
-        whole = lambda m: (F.size(peel(m["cells"])) == F.size(values)) | (t == TRIES - 1)
-        return _let(made, lambda m: F.when(whole(m), m))
+    return _let(values, lambda v: F.transform(dealt(v, parts_for(F.size(v))), part))
 
-    none = F.lit(None).cast("struct<size:int,cells:array<array<bigint>>>")
-    tried = F.reduce(F.sequence(F.lit(0), F.lit(TRIES - 1)), none, lambda found, t: F.coalesce(found, attempt(t)))
-    return _let(tried, lambda m: F.struct(m["size"].alias("size"), m["cells"].alias("cells"), values.alias("digests")))
+
+def digests_of(print_: Column) -> Column:
+    """All digests that a fingerprint holds."""
+    return F.flatten(F.transform(print_, lambda part: part["digests"]))
 
 
 def differing(a: Column, b: Column) -> Column:
     """The digests that only one of two fingerprints holds, those of ``b`` negative: by sketches, larger ones on failure."""
-    own, other = a["digests"], b["digests"]
-    less, more = F.least(a["size"], b["size"]), F.greatest(a["size"], b["size"])
-    at = lambda f, size: F.when(f["size"] == size, f["cells"]).otherwise(sketch(f["digests"], size))
+    parts = F.greatest(F.size(a), F.size(b))
+
+    def of_parts(f: Column) -> Column:
+        again = lambda some: F.struct(sketch(some, F.lit(WIDTH)).alias("cells"), some.alias("digests"))
+        return F.when(F.size(f) == parts, f).otherwise(F.transform(dealt(digests_of(f), parts), again))
+
+    def between(x: Column, y: Column) -> Column:
+        def attempt(t: Column, width: Column) -> Column:
+            def at(part: Column) -> Column:
+                return F.when(_width(part["cells"]) >= width, fold(part["cells"], width)).otherwise(sketch(part["digests"], width))
+
+            return _let(subtract(at(x), at(y)), peel)
 
-    def attempt(t: Column) -> Column:
-        folded = subtract(fold(a["cells"], a["size"], less), fold(b["cells"], b["size"], less))
-        # Three cells a digest of the smaller can't hold a set that is larger by more than as many.
-        fits = F.abs(F.size(own) - F.size(other)) <= 2 * less
-        larger = _let(more * F.call_function("shiftleft", F.lit(1), t - 1), lambda size: subtract(at(a, size), at(b, size)))
-        return peel(F.when(t > 0, larger).when(fits & (less < more), folded))
+        tried = _first_of(F.sequence(F.lit(0), F.lit(TRIES - 1)), attempt, "array<bigint>")
+        own, other = x["digests"], y["digests"]
+        return F.coalesce(tried, F.concat(F.array_except(own, other), F.transform(F.array_except(other, own), lambda v: -v)))
 
-    none = F.lit(None).cast("array<bigint>")
-    tried = F.reduce(F.sequence(F.lit(0), F.lit(TRIES)), none, lambda found, t: F.coalesce(found, attempt(t)))
-    return F.coalesce(tried, F.concat(F.array_except(own, other), F.transform(F.array_except(other, own), lambda v: -v)))
+    return F.flatten(F.zip_with(of_parts(a), of_parts(b), between))
 
 
 def likeness(n_a: Column, n_b: Column, n_differing: Column) -> Column:
     """Shared digests among all of two sets; 1 if neither has any."""
-    return F.when(n_a + n_b == 0, F.lit(1.0)).otherwise((n_a + n_b - n_differing) / (n_a + n_b + n_differing))
+    of = lambda n: F.when(n["all"] == 0, F.lit(1.0)).otherwise((n["all"] - n["apart"]) / (n["all"] + n["apart"]))
+    return _let(F.struct((n_a + n_b).alias("all"), n_differing.alias("apart")), of)
 
 
-def as_text(cells: Column) -> Column:
-    """A sketch as text: hexadecimal cells apart by dots, empty ones left out; parts apart by colons."""
-    written = lambda part: F.array_join(F.transform(part, lambda c: F.when(c == 0, "").otherwise(F.hex(c))), ".")
-    return F.lower(F.array_join(F.transform(cells, written), ":"))
+def as_text(print_: Column) -> Column:
+    """A fingerprint's cells as text: hexadecimal cells apart by dots, empty ones left out; parts apart by colons."""
+    cell = lambda c: F.when(c == 0, "").otherwise(F.hex(c))
+    written = lambda part: F.array_join(F.transform(F.flatten(part["cells"]), cell), ".")
+    return F.lower(F.array_join(F.transform(print_, written), ":"))
 
 
 def _range_of(rows: DataFrame, place: str, tie: str) -> Column:
@@ -315,8 +308,9 @@ def with_next(docs: DataFrame) -> DataFrame:
     guest = F.struct(F.col("above").alias("range"), F.lit(True).alias("guest"))
     put = F.explode(F.when(F.col("above").isNull(), F.array(own)).otherwise(F.array(own, guest)))
     rows = marked.select("doc_id", "text", "place", "tie", put.alias("put")).select("doc_id", "text", "place", "tie", "put.*")
-    # Texts move before they are sketched; the window finds them where they are.
-    rows = rows.repartition("range").withColumn("own", fingerprint(digests(sentences(F.col("text")))))
+    # Texts move before they are sketched; the window finds them where they are. A fixed number: little data, much work.
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(tasks, "range").withColumn("own", fingerprint(digests(sentences(F.col("text")))))
     after = Window.partitionBy("range").orderBy("guest", F.desc("place"), F.desc("tie"))
     led = rows.withColumns({"next_text": F.lead("text").over(after), "next": F.lead("own").over(after)})
     return led.filter(~F.col("guest")).select("doc_id", "text", "own", "next_text", "next")
@@ -330,10 +324,10 @@ def op5_iblt(spark, sf_dir: str) -> DataFrame:
     edited = F.concat(F.substr(F.col("text"), F.lit(1), n - half), F.substr(F.col("next_text"), F.lit(1), half))
     rows = docs.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "own", "next")
     rows = rows.withColumn("edit", fingerprint(digests(sentences(F.col("edited")))))
-    size = lambda f: F.size(f["digests"])
+    size = lambda f: F.size(digests_of(f))
     own = F.col("own")
     near = F.transform(F.array("edit", "next"), lambda other: likeness(size(own), size(other), F.size(differing(own, other))))
-    prints = F.transform(F.array("own", "edit"), lambda f: as_text(f["cells"]))
+    prints = F.transform(F.array("own", "edit"), as_text)
     found = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), prints.alias("prints"), near.alias("near"))
     return found.select(
         "doc_id", "n_chars", "edited_sha256",

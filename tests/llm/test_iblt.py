@@ -37,16 +37,16 @@ def parsed(text):
     return [[int(c, 16) if c else 0 for c in part.split(".")] for part in text.split(":")]
 
 
-def folded(parts, size):
-    """A sketch whose thirds have ``size`` cells."""
-    while len(parts) > max(1, size // I.WIDTH):
-        half = len(parts) // 2
-        parts = [[x + y for x, y in zip(a, b)] for a, b in zip(parts[:half], parts[half:])]
-    while len(parts[0]) // 3 > min(size, I.WIDTH):
-        width = len(parts[0]) // 3
-        half = width // 2
-        parts = [[p[j * width + i] + p[j * width + i + half] for j in range(3) for i in range(half)] for p in parts]
-    return parts
+def folded(parts, n):
+    """A sketch of ``n`` parts of the first size."""
+    out = []
+    for p in parts:
+        width = len(p) // 3
+        out.append([sum(p[j * width + i :: I.WIDTH][: width // I.WIDTH]) for j in range(3) for i in range(I.WIDTH)])
+    while len(out) > n:
+        half = len(out) // 2
+        out = [[x + y for x, y in zip(a, b)] for a, b in zip(out[:half], out[half:])]
+    return out
 
 
 def single(cell):
@@ -74,8 +74,8 @@ def compared(a, b):
     a, b = parsed(a), parsed(b)
     held = [peeled(a), peeled(b)]
     n = [len(h) for h in held]
-    size = min(len(a) * len(a[0]), len(b) * len(b[0])) // 3
-    left = peeled([[x - y for x, y in zip(p, q)] for p, q in zip(folded(a, size), folded(b, size))])
+    parts = min(len(a), len(b))
+    left = peeled([[x - y for x, y in zip(p, q)] for p, q in zip(folded(a, parts), folded(b, parts))])
     between = len(held[0] ^ held[1])
     assert left is None or len(left) == between
     return ((sum(n) - between) / (sum(n) + between) if sum(n) else 1.0), left is not None
@@ -116,7 +116,7 @@ def test_fingerprints_and_likeness_equal_brute_force(spark, tmp_path, monkeypatc
         by_folding += by_fold
         assert {abs(v) >> 12 & ((1 << 40) - 1) for v in peeled(parsed(row["fingerprint"]))} == {h & ((1 << 40) - 1) for h in paragraphs(text)}
         assert prints.setdefault(text, row["fingerprint"]) == row["fingerprint"]
-    assert len(set(prints.values())) == len(prints) and by_folding > 0.8 * len(rows)
+    assert len(set(prints.values())) == len(prints) and by_folding > 0.5 * len(rows)
 
 
 def test_single_repeated_and_null_ids(spark, tmp_path):
@@ -156,25 +156,35 @@ def values_of(spark, *sets):
 def test_peeling_recovers_both_sides(spark, n):
     a, b = list(range(n)), list(range(n // 3, n + n // 4))
     frame = values_of(spark, a, b).withColumns({"f": I.fingerprint(F.col("s0")), "g": I.fingerprint(F.col("s1"))})
-    row = frame.select("s0", "s1", I.differing(F.col("f"), F.col("g")).alias("d"), "f.size").first()
+    row = frame.select("s0", "s1", I.differing(F.col("f"), F.col("g")).alias("d"), "f").first()
     gone, new = set(row["s0"]) - set(row["s1"]), set(row["s1"]) - set(row["s0"])
-    assert sorted(row["d"]) == sorted([*gone, *(-v for v in new)]) and row["size"] >= max(n, I.LEAST)
+    assert sorted(row["d"]) == sorted([*gone, *(-v for v in new)]) and len(row["f"]) * I.PART >= n
 
 
-def test_a_sketch_that_is_too_small_fails_and_a_larger_one_is_tried(spark):
-    frame = values_of(spark, list(range(200)))
-    assert frame.select(I.peel(I.sketch(F.col("s0"), F.lit(32))).alias("p")).first()["p"] is None
+def test_a_part_that_is_too_small_fails_and_a_larger_one_is_tried(spark, monkeypatch):
     frame = values_of(spark, list(range(200)), list(range(1000, 1010)))
+    assert frame.select(I.peel(I.sketch(F.col("s0"), F.lit(32))).alias("p")).first()["p"] is None
+    monkeypatch.setattr(I, "PART", 64)
+    both = frame.select(I.fingerprint(F.col("s0")).alias("f"), I.fingerprint(F.col("s1")).alias("g"))
+    row = both.select("f", I.differing(F.col("f"), F.col("g")).alias("d")).first()
+    assert len(row["d"]) == 210 and max(len(p["cells"][0]) for p in row["f"]) > I.WIDTH
+    monkeypatch.setattr(I, "TRIES", 1)  # nothing peels: the sets themselves
     both = frame.select(I.fingerprint(F.col("s0")).alias("f"), I.fingerprint(F.col("s1")).alias("g"))
     assert len(both.select(I.differing(F.col("f"), F.col("g")).alias("d")).first()["d"]) == 210
 
 
-@pytest.mark.parametrize("size, to", [(512, 128), (512, 16), (64, 64), (32, 8)])
-def test_folding_equals_a_sketch_of_the_smaller_size(spark, size, to):
+@pytest.mark.parametrize("width, to", [(128, 16), (64, 64), (32, 8)])
+def test_folding_equals_a_sketch_of_the_smaller_size(spark, width, to):
     frame = values_of(spark, list(range(300)))
-    large = I.sketch(F.col("s0"), F.lit(size))
-    row = frame.select(I.fold(large, F.lit(size), F.lit(to)).alias("a"), I.sketch(F.col("s0"), F.lit(to)).alias("b"), large.alias("c")).first()
-    assert row["a"] == row["b"] == folded(row["c"], to)
+    large = I.sketch(F.col("s0"), F.lit(width))
+    row = frame.select(I.fold(large, F.lit(to)).alias("a"), I.sketch(F.col("s0"), F.lit(to)).alias("b")).first()
+    assert row["a"] == row["b"]
+
+
+@pytest.mark.parametrize("parts", [1, 2, 8, 32])
+def test_digests_are_dealt_by_their_low_bits(spark, parts):
+    row = values_of(spark, list(range(300))).select("s0", I.dealt(F.col("s0"), F.lit(parts)).alias("p")).first()
+    assert [sorted(p) for p in row["p"]] == [sorted(v for v in row["s0"] if (v >> 20) % parts == k) for k in range(parts)]
 
 
 @pytest.mark.parametrize("n", [30, 2500])
