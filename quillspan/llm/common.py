@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,7 +37,7 @@ def let_workers_import(spark: SparkSession) -> None:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([*filter(None, paths), root])
     for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
         key = f"spark.sql.execution.arrow.{name}"
-        if not 0 < int(spark.conf.get(key, "0").removesuffix("b")) <= most:
+        if not 0 < int(spark.conf.get(key).removesuffix("b")) <= most:
             spark.conf.set(key, str(most))
 
 
@@ -61,6 +62,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df``, written as Parquet to a new folder beside the checkpoints and read again."""
+    set_checkpoint_dir(df.sparkSession)
+    out = f"{df.sparkSession.sparkContext.getCheckpointDir()}/written-{uuid.uuid4().hex}"
+    df.write.parquet(out)
+    return df.sparkSession.read.parquet(out)
+
+
 def broadcast_if_small(df: DataFrame, row_bytes: int = 100, most: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``most`` rows, and ``BROADCAST_BYTES`` at ``row_bytes`` each; else as it is.
 

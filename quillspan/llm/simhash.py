@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillspan.llm.common import LOWER, UPPER, broadcast_if_small, cut, let_workers_import
+from quillspan.llm.common import LOWER, UPPER, broadcast_if_small, cut, fresh, let_workers_import
 from quillspan.llm.components import components
 from quillspan.sources.tables import read_table
 
@@ -144,32 +144,72 @@ def group_by_fingerprint(prints: DataFrame, radius: int, segments: int) -> DataF
 
 
 #: Near-duplicate texts: 128 bits over runs of two words. Texts with 0.8 of their five-word shingles in common differ
-#: in some 9 bits, 16 or fewer in 98 of 100 cases; unrelated texts in 45 or more.
+#: in some 12 bits, unrelated texts in 45 or more.
 WIDE_SEEDS, WIDE_WIDTH, WIDE_RADIUS = (42, 43), 2, 16
-#: Six segments of 22 bits (word, first bit) with balls of one bit. They find all within 11 bits but for overlaps, and
-#: by measurement 97 of 100 texts within 0.8; being 22 bits wide they hold few unrelated texts.
+#: Six segments of 22 bits (word, first bit) with balls of one bit; being 22 bits wide they hold few unrelated texts.
 WIDE_BITS, WIDE_SEGMENTS = 22, tuple((word, first) for word in (0, 1) for first in (0, 21, 42))
 
-
 #: Near duplicates share this much of their distinct runs of five words, as a fraction.
 ALIKE, ALIKE_WIDTH = (4, 5), 5
+#: Runs that more texts begin with than ``HOT`` come last in the order of runs; they are marked in as many bits.
+HOT, HOT_BITS = 32, 1 << 22
+#: Pairs of texts in one bucket and different groups; if there are more, each text is compared with ``HUBS`` of them first.
+MANY_PAIRS, HUBS = 2_000_000, 4
+
+
+def word_hashes(text: bytes | None) -> np.ndarray:
+    """XXH64 of each word, A-Z lower-cased."""
+    words = (text or b"").translate(_LOWER).split()
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+
+
+def run_hashes(words: np.ndarray, width: int, seed: int) -> np.ndarray:
+    """A hash of each run of ``width`` words (of all words if they are fewer) from the words' hashes."""
+    width = min(width, len(words))
+    if not width:
+        return np.zeros(0, np.uint64)
+    n = len(words) - width + 1
+    sums = np.full(n, seed, np.uint64)
+    for k in range(width):
+        sums += words[k : k + n] * np.uint64(pow(0x9E3779B97F4A7C15, 2 * k + seed, 1 << 64))
+    for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):  # so that every bit depends on every word
+        sums = (sums ^ (sums >> np.uint64(33))) * np.uint64(factor)
+    return sums ^ (sums >> np.uint64(33))
+
+
+def shingles(words: np.ndarray) -> np.ndarray:
+    """The distinct hashes of runs of ``ALIKE_WIDTH`` words, ascending."""
+    return np.unique(run_hashes(words, ALIKE_WIDTH, 7))
+
+
+def first_runs(n: int) -> tuple[int, int]:
+    """How many of a text's ``n`` runs, in an order that is the same for all texts, are enough for it to meet any near duplicate.
+
+    Of two texts with ``ALIKE`` in common one of the second number of the one with fewer runs is among the first number of
+    the other's: they share 8 of 9 of the former's runs at least, and 4 of 5 of the latter's.
+    """
+    part, whole = ALIKE
+    both = part + whole  # shared runs are part / both of the sum of two texts' runs, so 2 * part / both of the smaller one's
+    return n - -(-part * n // whole) + 1, n - -(-2 * part * n // both) + 1
 
 
-def wide_fingerprint(text: Column) -> Column:
-    """Two SimHashes of a text with different seeds and a hash of its words in order, as a struct: one per distinct text.
+def fingerprints(text: Column) -> Column:
+    """Struct of two SimHashes with different seeds, a hash of the words in order, and ``low``, runs of least hash.
 
     Texts that differ in white space or the case of A-Z only have the same words.
     """
 
-    @F.pandas_udf("f0 long, f1 long, words long")
+    @F.pandas_udf("f0 long, f1 long, words long, low array<long>")
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in texts:
             rows = []
             for t in batch:
-                words = b" ".join((t or b"").translate(_LOWER).split())
-                prints = [simhash(shingle_hashes(words, WIDE_WIDTH, seed)) for seed in WIDE_SEEDS]
-                rows.append([*prints, int(np.uint64(xxhash.xxh64_intdigest(words)).astype(np.int64))])
-            yield pd.DataFrame(rows, columns=["f0", "f1", "words"], dtype="int64")
+                words = word_hashes(t)
+                prints = [simhash(run_hashes(words, WIDE_WIDTH, seed)) for seed in WIDE_SEEDS]
+                runs = shingles(words)
+                whole = np.frombuffer(xxhash.xxh64_digest(words.tobytes()), "<i8")[0]
+                rows.append([*prints, int(whole), runs[: first_runs(len(runs))[1]].view(np.int64)])
+            yield pd.DataFrame(rows, columns=["f0", "f1", "words", "low"])
 
     return of(text.cast("binary"))
 
@@ -180,37 +220,54 @@ def shingle_set(text: Column) -> Column:
     @F.pandas_udf("array<long>")
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in texts:
-            yield pd.Series([np.unique(shingle_hashes(t or b"", ALIKE_WIDTH, 42)).view(np.int64) for t in batch], dtype=object)
+            yield pd.Series([shingles(word_hashes(t)).view(np.int64) for t in batch], dtype=object)
 
     return of(text.cast("binary"))
 
 
-def alike(pairs: DataFrame, docs: DataFrame, distinct: DataFrame) -> DataFrame:
-    """Those of ``pairs`` (a, b) of wide fingerprints whose texts share ``ALIKE`` of their runs of words or more.
+def hot_bits(low: DataFrame) -> np.ndarray:
+    """Bits that are set for the runs that more than ``HOT`` rows of ``low`` (arrays) hold, and by chance for some others.
 
-    ``docs`` has ``id`` and ``text``, ``distinct`` the least id ``low`` of each ``fp``. Only texts in a pair are read as sets.
+    ``HOT_BITS`` bits leave the tasks, whatever the number of runs.
     """
-    pairs = cut(pairs)
-    nodes = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
-    wanted = cut(nodes.join(distinct, "fp"))
-    ids = broadcast_if_small(wanted.select(F.col("low").alias("id")).distinct())
-    texts = docs.select("id", "text").join(ids, "id", "left_semi").withColumn("fp", wide_fingerprint(F.col("text")))
-    texts = texts.join(wanted, (F.col("id") == F.col("low")) & (texts["fp"] == wanted["fp"])).select(texts["fp"], "text")
-    sets = cut(texts.dropDuplicates(["fp"]).select("fp", shingle_set(F.col("text")).alias("set")))
-    side = lambda name: sets.select(F.col("fp").alias(name), F.col("set").alias(f"set_{name}"))
-    both = F.size(F.array_intersect("set_a", "set_b"))
-    enough = ALIKE[1] * both >= ALIKE[0] * (F.size("set_a") + F.size("set_b") - both)
-    return pairs.join(side("a"), "a").join(side("b"), "b").filter(enough).select("a", "b")
+    hot = low.select(F.explode("low").alias("run")).groupBy("run").count().filter(F.col("count") > HOT)
+    bit = F.col("run").bitwiseAND(F.lit(HOT_BITS - 1).cast("long"))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int"))
+    words = hot.groupBy(F.call_function("div", bit, F.lit(64)).alias("at")).agg(F.bit_or(one).alias("bits")).collect()
+    out = np.zeros(HOT_BITS // 64, np.int64)
+    for row in words:
+        out[row["at"]] = row["bits"]
+    return out.view(np.uint64)
+
+
+def leading_runs(text: Column, spark, hot: np.ndarray) -> Column:
+    """Struct of ``n``, a text's distinct runs, ``runs``, its first ones, and ``fewer``, how many are enough against larger texts.
+
+    Runs that ``hot`` marks come last, else the order is that of their hashes.
+    """
+    shared = spark.sparkContext.broadcast(hot)
+
+    @F.pandas_udf("n int, fewer int, runs array<long>")
+    def of(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        bits = shared.value
+        for batch in texts:
+            rows = []
+            for t in batch:
+                runs = shingles(word_hashes(t))
+                at = runs & np.uint64(HOT_BITS - 1)
+                last = (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+                enough, fewer = first_runs(len(runs))
+                rows.append([len(runs), fewer, np.concatenate([runs[~last], runs[last]])[:enough].view(np.int64)])
+            yield pd.DataFrame(rows, columns=["n", "fewer", "runs"])
+
+    return of(text.cast("binary"))
 
 
-def wide_links(prints: DataFrame, bucket: int = BUCKET, keep: Callable[[DataFrame], DataFrame] = lambda pairs: pairs) -> DataFrame:
-    """Links (a, b) between the distinct wide fingerprints ``fp`` of ``prints`` that are within ``WIDE_RADIUS`` bits.
+def wide_links(prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """Pairs (a, b) of the distinct wide fingerprints ``fp`` of ``prints`` that are within ``WIDE_RADIUS`` bits.
 
-    Every pair within the radius that has a segment within one bit is linked, be it over third ones. The members of a
-    bucket with more than ``bucket`` of them, and those who ask for it, are compared with the least of all of these first,
-    and members also with the least of each 16 bits of the fingerprint. Then each asker is compared with each member that
-    these links leave in another component: bit counts by the square of a bucket, rows only for what is near and apart.
-    ``keep`` gives those of some pairs that count as links.
+    That is every pair with a segment within one bit of each other's, but for buckets with more than ``bucket`` members: those and
+    who asks for them meet the least of all of these only, and members also the least of each 16 bits of the fingerprint.
     """
     fp, mask = F.col("fp"), F.lit((1 << WIDE_BITS) - 1).cast("long")
     x, y = F.col("x"), F.col("y")
@@ -240,39 +297,118 @@ def wide_links(prints: DataFrame, bucket: int = BUCKET, keep: Callable[[DataFram
     meets = F.when(F.col("member"), F.array(everyone, *chunks)).otherwise(F.array(everyone))
     meeting = crowd.select("x", "k", F.explode(meets).alias("c"))
     least = meeting.groupBy("k", "c").agg(F.min("x").alias("y"))
-    stars = meeting.join(least, ["k", "c"]).filter((y < x) & near).select("y", "x")
-    links = cut(keep(met.filter("y is not null").select(x.alias("a"), y.alias("b")).union(stars).distinct()))
-    if not full.limit(1).count():
-        return links
+    stars = meeting.join(least, ["k", "c"]).filter((y < x) & near).select(y.alias("a"), x.alias("b"))
+    return met.filter("y is not null").select(x.alias("a"), y.alias("b")).union(stars).distinct()
+
+
+def alike(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (a, b) of nodes whose texts share ``ALIKE`` of their runs of words or more, written.
+
+    ``nodes`` names each ``node``'s row of ``texts`` by ``id`` and ``row``. Only texts in a pair are read as sets.
+    """
+    pairs = cut(pairs)
+    wanted = nodes.join(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "node").select("node", "id", "row")
+    found = texts.join(broadcast_if_small(cut(wanted)), ["id", "row"]).dropDuplicates(["node"])
+    sets = cut(found.select("node", shingle_set(F.col("text")).alias("set")))
+    side = lambda name: sets.select(F.col("node").alias(name), F.col("set").alias(f"set_{name}"))
+    both = F.size(F.array_intersect("set_a", "set_b"))
+    enough = ALIKE[1] * both >= ALIKE[0] * (F.size("set_a") + F.size("set_b") - both)
+    return cut(pairs.join(side("a"), "a").join(side("b"), "b").filter(enough).select("a", "b"))
+
+
+def _rest(leading: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Texts of different groups that begin with one run: (run, node, root, n, early) of all, and of all but the run's largest group.
+
+    ``early``: whether the run is one of the fewer that are enough against larger texts.
+    """
+    placed = leading.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    runs = placed.select("node", "root", "n", "fewer", F.posexplode("runs").alias("at", "run"))
+    several = runs.groupBy("run").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most").select("run")
+    shared = cut(runs.join(broadcast_if_small(cut(several)), "run").select("run", "node", "root", "n", (F.col("at") < F.col("fewer")).alias("early")))
+    by_root = shared.groupBy("run", "root").count()
+    largest = by_root.groupBy("run").agg(F.max(F.struct("count", "root"))["root"].alias("largest"))
+    return shared, shared.join(broadcast_if_small(cut(largest)), "run").filter("root <> largest").drop("largest")
+
+
+def missing_links(leading: DataFrame, roots: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What is left of the links (a, b): all near duplicates in different groups of ``roots`` (node, root) are joined by them.
+
+    ``leading`` has each node's :func:`leading_runs`; ``keep`` gives those of some pairs that are near duplicates.
+    """
+    shared, few = _rest(leading, roots)
+    x, y = few.alias("x"), shared.alias("y")
+    apart = F.col("x.root") != F.col("y.root")
+    small, large = F.least("x.n", "y.n"), F.greatest("x.n", "y.n")
+    early = ((F.col("x.n") <= F.col("y.n")) & F.col("x.early")) | ((F.col("y.n") <= F.col("x.n")) & F.col("y.early"))
+    possible = apart & (ALIKE[1] * small >= ALIKE[0] * large) & early
+    pair = (F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+    sizes = shared.groupBy("run").count().join(few.groupBy("run").agg(F.count(F.lit(1)).alias("few")), "run")
+    links = None
+    if (sizes.agg(F.sum(F.col("count") * F.col("few"))).first()[0] or 0) > MANY_PAIRS:
+        # One of each run's texts stands for it; each text of the smaller groups meets some of those that its runs give.
+        order = F.xxhash64("node", "run")
+        hubs = cut(shared.groupBy("run").agg(F.min(F.struct(order.alias("order"), "node", "root", "n", "early")).alias("hub")).select("run", "hub.*"))
+        tried = few.alias("x").join(hubs.alias("y"), "run").filter(apart & (ALIKE[1] * small >= ALIKE[0] * large))
+        tried = tried.select(*pair, F.col("x.node").alias("of")).distinct()
+        turn = F.row_number().over(Window.partitionBy("of").orderBy(F.xxhash64("a", "b"), "a", "b"))
+        links = keep(tried.withColumn("turn", turn).filter(F.col("turn") <= HUBS).select("a", "b").distinct())
+        both = links.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        shared, few = _rest(leading, components(both))
+        x, y = few.alias("x"), shared.alias("y")
+    last = keep(x.join(y, "run").filter(possible).select(*pair).distinct())
+    return last if links is None else links.union(last)
+
+
+def near_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """For rows of ``id``, ``row`` and ``text``: their ``id``, ``row`` and ``first`` (id and row of their group's least)."""
+    prints = cut(docs.select("id", "row", fingerprints(F.col("text")).alias("m")))
+    words = F.struct("m.f0", "m.f1", "m.words")
+    distinct = prints.groupBy(words.alias("fp")).agg(F.min(F.struct("id", "row")).alias("first"), F.any_value("m.low").alias("low"))
+    nodes = cut(distinct.select("fp", "first", "low", F.monotonically_increasing_id().alias("node")))
+    named = nodes.select("node", "first.id", "first.row")
+    keep = lambda pairs: alike(pairs, named, docs)
+    wide = wide_links(nodes.select(F.struct("fp.f0", "fp.f1", "node").alias("fp")))
+    links = keep(wide.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")))
     roots = components(links)
-    placed = cut(crowd.join(roots, x == F.col("node"), "left").select("k", "x", "member", F.coalesce("root", "x").alias("root")))
-    members = placed.filter("member").select("k", x.alias("y"), F.col("root").alias("y_root"))
-    once = ~F.col("member") | (x < y)  # members ask for their own bucket too
-    rest = placed.join(members, "k").filter((F.col("root") != F.col("y_root")) & once & near)
-    return links.union(keep(rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()))
+
+    # Copies have their first one's runs and drop out in the join.
+    hot = hot_bits(nodes.select("low"))
+    leading = docs.select("id", "row", leading_runs(F.col("text"), docs.sparkSession, hot).alias("l")).dropDuplicates(["id", "row"])
+    leading = cut(leading.join(broadcast_if_small(named), ["id", "row"]).select("node", "l.*"))
+    more = missing_links(leading, roots, keep)
+    if more.limit(1).count():
+        roots = components(links.union(more))
+    placed = cut(nodes.join(roots, "node", "left").select("fp", "first", F.coalesce("root", "node").alias("root")))
+    least = placed.groupBy("root").agg(F.min("first").alias("least"))
+    groups = placed.join(least, "root").select("fp", "least")
+    return prints.select("id", "row", words.alias("fp")), groups
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each group of near duplicates: that of the least id (a null id counts as the largest).
 
-    Groups are the components of pairs that are within ``WIDE_RADIUS`` bits and whose texts are ``ALIKE``.
+    Groups are the components of all pairs of texts that share ``ALIKE`` of their distinct runs of five words. Fingerprints
+    within ``WIDE_RADIUS`` bits find most such pairs. The others are found without fail: any two texts that much
+    alike begin with a common run, in an order of all runs that has frequent ones last; texts in one bucket of a run
+    are compared if fingerprints have left them in different groups. So of a bucket whose texts are all in one group no pair is
+    looked at. Of rows with equal ids and words the one with the least hash of all its columns stays.
     """
     let_workers_import(docs.sparkSession)
-    id_ = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
-    prints = cut(docs.select(id_.alias("id"), wide_fingerprint(F.col("text")).alias("fp")))
-    distinct = cut(prints.groupBy("fp").agg(F.min("id").alias("low")))
-    keep = lambda pairs: alike(pairs, docs.select(id_.alias("id"), "text"), distinct)
-    roots = components(wide_links(distinct.select("fp"), keep=keep))
-    linked = cut(roots.union(roots.select("root", "root").distinct()))
-    placed = linked.join(distinct, F.col("node") == F.col("fp")).select("root", F.struct("low", "fp").alias("first"))
-    leaders = placed.groupBy("root").agg(F.min("first").alias("first")).select("first.fp", "first.low")
-    stays = distinct.join(linked, F.col("fp") == F.col("node"), "left_anti").select("fp", "low").union(leaders)
-    rows = docs.select(F.struct(*docs.columns).alias("doc"), wide_fingerprint(F.col("text")).alias("fp"))
-    rows = rows.withColumn("id", F.coalesce(F.col("doc.doc_id").cast("long"), F.lit((1 << 63) - 1)))
-    kept = rows.join(stays.select(F.col("fp").alias("s_fp"), "low"), (F.col("fp") == F.col("s_fp")) & (F.col("id") == F.col("low")))
-    if prints.groupBy("fp", "id").count().filter("count > 1").limit(1).count():
-        kept = kept.dropDuplicates(["fp", "id"])
-    return kept.select("doc.*")
+    hashed = [c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    id_, row = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), F.xxhash64(*hashed)
+    prints, groups = near_groups(docs.select(id_.alias("id"), row.alias("row"), "text"))
+    stays = groups.select("least.id", "least.row").distinct()
+    keys = prints.groupBy("id", "row").count()
+    goes = cut(keys.join(stays, ["id", "row"], "left_anti").select("id", "row"))
+    again = cut(keys.filter("count > 1").join(stays, ["id", "row"], "left_semi").select("id", "row"))
+    id_name, row_name = fresh(docs, "id"), fresh(docs, "row")
+    rows = docs.withColumns({id_name: id_, row_name: row})
+    named = lambda some: broadcast_if_small(some.select(F.col("id").alias(id_name), F.col("row").alias(row_name)))
+    kept = rows.join(named(goes), [id_name, row_name], "left_anti")
+    if again.limit(1).count():
+        once = kept.join(named(again), [id_name, row_name], "left_semi").dropDuplicates([id_name, row_name])
+        kept = kept.join(named(again), [id_name, row_name], "left_anti").unionByName(once)
+    return kept.select(*docs.columns)
 
 
 def op7_simhash(spark, sf_dir: str) -> DataFrame:
