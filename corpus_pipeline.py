@@ -10,6 +10,15 @@ last return the columns of documents:
 3. PII: personal data is replaced by pseudonyms;
 4. mixing: sources are repeated towards even weights, up to twice, none is cut;
 5. packing: token ids in sequences of at most 2048, one row per piece.
+
+``run`` writes each stage to the shared checkpoint folder, so no stage is computed twice and a lost
+executor costs one stage's tasks at most.
+
+Cases: a null or empty text, or one of under 20 words, fails the base limits and goes. Null languages and
+sources are values of their own; a null id counts as the largest. Texts of any length pass whole. Repeated
+rows are near duplicates of each other, so one stays; of rows that tie in id and words that of the least hash of all
+columns. An empty table gives an empty result. All columns that documents have pass through to the last stage,
+whatever their names; ``n_chars``, if there, is counted anew after PII.
 """
 
 from __future__ import annotations
@@ -19,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspan.llm import mixing, packing, pii, quality_rules, simhash
+from quillspan.llm.common import fresh, written
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,8 +43,11 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data under pseudonyms."""
-    out = pii.pseudonymise(docs, pii.KEY, count="n_replaced")
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    count = fresh(docs, "n_replaced")
+    out = pii.pseudonymise(docs, pii.KEY, count=count).drop(count)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,6 +75,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
