@@ -2,27 +2,29 @@
 
 Each document gets a vector of transformed statistics. Per language and source the
 minimum-covariance-determinant estimate (the mean and covariance of the three quarters
-of the rows that lie closest together) is found by concentration steps, and a document
+of the rows that lie closest together) is found by concentration steps from ``STARTS`` starts (the medians,
+and random subsets); after ``LEAD`` steps that of the least determinant is followed until it stands. A document
 whose Mahalanobis distance from it is beyond a chi-square cutoff is rejected. Junk, as
 long as it is under a quarter of a source, does not move the estimate.
 
 The vector, all shrunk towards the language's mean or nought so that short texts don't
 stray: log of the mean word length, and the square roots of the shares of symbols, of
 repeated lines and of words in repeated windows. Most clean texts have none of the last
-three, so each variance gets a floor, below which a deviation means nothing.
+three, so each variance gets a floor, about what one symbol, line or window makes in a short text, below which a
+deviation means nothing. Where a source's texts spread by more than that, its covariance decides.
 
 Scale: one pass over the texts writes the statistics (six numbers a row) to the
 checkpoint folder. A concentration step is one aggregation over them: rows are reduced
 in each task to one row per group and distance class (a grid on the log of the distance,
 some hundreds of classes), and the classes up to three quarters of the rows are summed.
 All rows count; a group that holds a third of them is as many rows as any other after
-that. Groups with fewer than ``MIN_GROUP`` rows are pooled over their language, and
+that. Groups with fewer than ``MIN_GROUP`` rows, too few for a covariance of their own, are pooled over their language, and
 those pools that are still too small over all languages. Tables of groups are broadcast only if they
 have at most ``BROADCAST_ROWS`` rows.
 
 Cases: a null or empty text has no words and fails the base limits; null language or
-source is a value of its own. A group too small for any pool isn't judged, its rows are
-kept. Repeated rows count and are judged one by one. Empty tables give empty results.
+source is a value of its own. A text of any length is measured whole. Rows that tie in distance are in the core together or
+not at all. Repeated rows count and are judged one by one. Empty tables give empty results.
 Input columns travel in one struct, so their names can't clash with any used here.
 """
 
@@ -38,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillspan.llm.common import broadcast_if_small, cut, let_workers_import
+from quillspan.llm.common import BROADCAST_BYTES, broadcast_if_small, cut, let_workers_import
 from quillspan.sources.tables import read_table
 
 STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
@@ -52,10 +54,14 @@ SPACE = b" \t\n\v\f\r"
 #: Words, characters and lines that a text is shrunk by.
 PRIOR_WORDS, PRIOR_CHARS, PRIOR_LINES = 100, 500, 10
 #: Standard deviations that count as none, per entry of the vector.
-FLOORS = (0.05, 0.035, 0.12, 0.12)
+FLOORS = (0.02, 0.03, 0.1, 0.1)
 SIZE = len(FLOORS)
-#: Share of rows that the estimate rests on, concentration steps, and rows that a group must have.
-CORE, STEPS, MIN_GROUP = 0.75, 3, 200
+#: Share of rows that the estimate rests on, and rows that a group of its own must have.
+CORE, MIN_GROUP = 0.75, 50
+#: After how many steps only the start of least determinant is followed.
+LEAD = 3
+#: Starts, rows of a random one and their least share, the most concentration steps, and the fall of a log determinant that is none.
+STARTS, START_ROWS, START_SHARE, STEPS, STANDS = 4, 20, 0.02, 12, 1e-2
 #: Share of clean rows, were they normal, that a group would lose.
 REJECT = 1e-7
 
@@ -154,11 +160,10 @@ def groups_of(stats: DataFrame) -> DataFrame:
     per_lang = per_source.groupBy("k_lang").agg(
         (F.sum("chars") / F.sum("words")).alias("mean_length"), F.sum(small).alias("pooled")
     )
-    rest = per_lang.agg(F.sum(F.when(F.col("pooled") < MIN_GROUP, F.col("pooled"))).alias("rest")).first()["rest"] or 0
     group = (
         F.when(F.col("n") >= MIN_GROUP, F.concat_ws("\0", "k_lang", "k_source"))
         .when(F.col("pooled") >= MIN_GROUP, F.col("k_lang"))
-        .when(F.lit(rest >= MIN_GROUP), F.lit(""))
+        .otherwise("")
     )
     return cut(per_source.join(per_lang, "k_lang").select("k_lang", "k_source", "mean_length", group.alias("group")))
 
@@ -184,10 +189,10 @@ def squared_distance() -> Column:
     return sum(terms[1:], terms[0])
 
 
-def _inverted(sums: DataFrame) -> DataFrame:
-    """Mean and inverse covariance from each group's sums; one row per group."""
-    factor, floors, pairs, size = _consistency(), np.diag(np.square(FLOORS)), _PAIRS, SIZE
-    names = ["group", *(f"m{i}" for i in range(size)), *(f"p{i}{j}" for i, j in pairs)]
+def _inverted(sums: DataFrame, factor: float) -> DataFrame:
+    """Mean, inverse of ``factor`` times the covariance, and log of its determinant; one row per group and start."""
+    floors, pairs, size = np.diag(np.square(FLOORS)), _PAIRS, SIZE
+    names = ["group", "start", *(f"m{i}" for i in range(size)), *(f"p{i}{j}" for i, j in pairs), "volume"]
 
     def invert(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -197,18 +202,26 @@ def _inverted(sums: DataFrame) -> DataFrame:
                 spread = np.zeros((size, size))
                 for (i, j), s in zip(pairs, row.second):
                     spread[i, j] = spread[j, i] = s / n - mean[i] * mean[j]
-                inverse = np.linalg.inv(factor * spread + floors)
-                out.append((row.group, *mean, *(inverse[i, j] for i, j in pairs)))
+                covariance = factor * spread + floors
+                inverse = np.linalg.inv(covariance)
+                out.append((row.group, row.start, *mean, *(inverse[i, j] for i, j in pairs), np.linalg.slogdet(covariance)[1]))
             yield pd.DataFrame(out, columns=names)
 
-    doubles = ", ".join(f"{c} double" for c in names[1:])
-    return cut(sums.mapInPandas(invert, f"group string, {doubles}"))
+    doubles = ", ".join(f"{c} double" for c in names[2:])
+    return cut(sums.mapInPandas(invert, f"group string, start int, {doubles}"))
+
+
+def _sums() -> list[Column]:
+    """Number of rows, sums of the entries and of their products."""
+    products = [F.sum(F.col(_X[i]) * F.col(_X[j])) for i, j in _PAIRS]
+    return [F.count(F.lit(1)).alias("n"), F.array(*map(F.sum, _X)).alias("first"), F.array(*products).alias("second")]
 
 
 def _start(rows: DataFrame) -> DataFrame:
-    """First estimate: medians, and no more covariance than the spread around them."""
+    """First estimates: medians and no more covariance than the spread around them, and means and covariances of random subsets."""
     grid = lambda c: F.round(c, 3)  # noqa: E731  bounds what an exact median has to remember
-    medians = cut(rows.groupBy("group").agg(*(F.percentile(grid(F.col(x)), 0.5).alias(f"m{i}") for i, x in enumerate(_X))))
+    middle = [F.percentile(grid(F.col(x)), 0.5).alias(f"m{i}") for i, x in enumerate(_X)]
+    medians = cut(rows.groupBy("group").agg(F.count(F.lit(1)).alias("rows"), *middle))
     around = rows.join(broadcast_if_small(medians), "group")
     spread = [F.percentile(grid(F.abs(F.col(x) - F.col(f"m{i}"))), 0.5) for i, x in enumerate(_X)]
     inverse = {f"p{i}{j}": F.lit(0.0) for i, j in _PAIRS if i != j}
@@ -216,31 +229,52 @@ def _start(rows: DataFrame) -> DataFrame:
     found = around.groupBy("group").agg(
         *(F.first(f"m{i}").alias(f"m{i}") for i in range(SIZE)), *(s.alias(f"s{i}") for i, s in enumerate(spread))
     )
-    return cut(found.withColumns(inverse).drop(*(f"s{i}" for i in range(SIZE))))
+    found = found.withColumns(inverse | {"start": F.lit(0), "volume": F.lit(float("inf"))})
+    chance = (F.xxhash64("start", *_X) / F.lit(float(1 << 64))) + 0.5
+    share = F.greatest(F.lit(START_SHARE), START_ROWS / F.col("rows"))
+    several = around.withColumn("start", F.explode(F.array(*map(F.lit, range(1, STARTS)))))
+    others = _inverted(several.filter(chance < share).groupBy("group", "start").agg(*_sums()), 1.0)
+    return cut(found.select(others.columns).union(others))
+
+
+def _concentrated(rows: DataFrame, params: DataFrame) -> DataFrame:
+    """The estimates from the ``CORE`` of the rows that are closest by ``params``."""
+    near = rows.join(params, "group").select(
+        "group", "start", *_X, F.floor(F.log(squared_distance() + 1e-6) * 50).alias("ring")
+    )
+    rings = near.groupBy("group", "start", "ring").agg(*_sums()[:1], *(F.sum(x).alias(f"a{i}") for i, x in enumerate(_X)), *(
+        F.sum(F.col(_X[i]) * F.col(_X[j])).alias(f"b{i}{j}") for i, j in _PAIRS
+    ))
+    by_group = Window.partitionBy("group", "start")
+    inner = F.sum("n").over(by_group.orderBy("ring").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    core = rings.withColumns({"inner": inner, "all": F.sum("n").over(by_group)}).filter(F.col("inner") < CORE * F.col("all"))
+    sums = core.groupBy("group", "start").agg(
+        F.sum("n").alias("n"),
+        F.array(*(F.sum(f"a{i}") for i in range(SIZE))).alias("first"),
+        F.array(*(F.sum(f"b{i}{j}") for i, j in _PAIRS)).alias("second"),
+    )
+    return _inverted(sums, _consistency())
 
 
 def estimate(rows: DataFrame) -> DataFrame:
     """Minimum-covariance-determinant estimates of ``rows`` (columns group and x0 to x3): group, mean, inverse covariance."""
     params = _start(rows)
-    for _ in range(STEPS):
-        near = rows.join(broadcast_if_small(params), "group").select(
-            "group", *_X, F.floor(F.log(squared_distance() + 1e-6) * 50).alias("ring")
-        )
-        rings = near.groupBy("group", "ring").agg(
-            F.count(F.lit(1)).alias("n"),
-            *(F.sum(x).alias(f"a{i}") for i, x in enumerate(_X)),
-            *(F.sum(F.col(_X[i]) * F.col(_X[j])).alias(f"b{i}{j}") for i, j in _PAIRS),
-        )
-        by_group = Window.partitionBy("group")
-        inner = F.sum("n").over(by_group.orderBy("ring").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
-        core = rings.withColumns({"inner": inner, "all": F.sum("n").over(by_group)}).filter(F.col("inner") < CORE * F.col("all"))
-        sums = core.groupBy("group").agg(
-            F.sum("n").alias("n"),
-            F.array(*(F.sum(f"a{i}") for i in range(SIZE))).alias("first"),
-            F.array(*(F.sum(f"b{i}{j}") for i, j in _PAIRS)).alias("second"),
-        )
-        params = _inverted(sums)
-    return params
+    small = params.count() * 200 <= BROADCAST_BYTES  # no step adds rows
+    for step in range(STEPS):
+        last, params = params, _concentrated(rows, F.broadcast(params) if small else params)
+        before = last.select("group", "start", F.col("volume").alias("before"))
+        fall = params.join(F.broadcast(before) if small else before, ["group", "start"]).agg(F.max(F.col("before") - F.col("volume"))).first()[0]
+        if fall is None or fall <= STANDS:
+            break
+        if step == LEAD - 1:
+            params = _least(params)
+    return cut(_least(params).drop("start", "volume"))
+
+
+def _least(params: DataFrame) -> DataFrame:
+    """Each group's estimate of least determinant."""
+    least = params.groupBy("group").agg(F.min(F.struct(F.round("volume", 6), "start"))["start"].alias("start"))
+    return cut(params.join(least, ["group", "start"]))
 
 
 def _measured(docs: DataFrame) -> DataFrame:
