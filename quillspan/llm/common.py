@@ -15,7 +15,7 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 #: Most rows of a table that is sent to every executor, and most bytes that they are reckoned to take there.
-BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
 #: Most rows and bytes of a batch that goes to a Python worker.
 BATCH_ROWS, BATCH_BYTES = 1_000, 16 << 20
 

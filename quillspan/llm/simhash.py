@@ -153,8 +153,6 @@ WIDE_BITS, WIDE_SEGMENTS = 22, tuple((word, first) for word in (0, 1) for first
 ALIKE, ALIKE_WIDTH = (4, 5), 5
 #: Runs that more texts begin with than ``HOT`` come last in the order of runs; they are marked in as many bits.
 HOT, HOT_BITS = 32, 1 << 22
-#: Pairs of texts in one bucket and different groups; if there are more, each text is compared with ``HUBS`` of them first.
-MANY_PAIRS, HUBS = 2_000_000, 4
 
 
 def word_hashes(text: bytes | None) -> np.ndarray:
@@ -189,8 +187,7 @@ def first_runs(n: int) -> tuple[int, int]:
     the other's: they share 8 of 9 of the former's runs at least, and 4 of 5 of the latter's.
     """
     part, whole = ALIKE
-    both = part + whole  # shared runs are part / both of the sum of two texts' runs, so 2 * part / both of the smaller one's
-    return n - -(-part * n // whole) + 1, n - -(-2 * part * n // both) + 1
+    return n - -(-part * n // whole) + 1, n - -(-2 * part * n // (part + whole)) + 1
 
 
 def fingerprints(text: Column) -> Column:
@@ -241,13 +238,13 @@ def hot_bits(low: DataFrame) -> np.ndarray:
 
 
 def leading_runs(text: Column, spark, hot: np.ndarray) -> Column:
-    """Struct of ``n``, a text's distinct runs, ``runs``, its first ones, and ``fewer``, how many are enough against larger texts.
+    """Struct of ``n``, a text's distinct runs, ``runs``, its first ones, and ``early``, how many are enough against larger texts.
 
     Runs that ``hot`` marks come last, else the order is that of their hashes.
     """
     shared = spark.sparkContext.broadcast(hot)
 
-    @F.pandas_udf("n int, fewer int, runs array<long>")
+    @F.pandas_udf("n int, early int, runs array<long>")
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         bits = shared.value
         for batch in texts:
@@ -256,9 +253,9 @@ def leading_runs(text: Column, spark, hot: np.ndarray) -> Column:
                 runs = shingles(word_hashes(t))
                 at = runs & np.uint64(HOT_BITS - 1)
                 last = (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
-                enough, fewer = first_runs(len(runs))
-                rows.append([len(runs), fewer, np.concatenate([runs[~last], runs[last]])[:enough].view(np.int64)])
-            yield pd.DataFrame(rows, columns=["n", "fewer", "runs"])
+                enough, early = first_runs(len(runs))
+                rows.append([len(runs), early, np.concatenate([runs[~last], runs[last]])[:enough].view(np.int64)])
+            yield pd.DataFrame(rows, columns=["n", "early", "runs"])
 
     return of(text.cast("binary"))
 
@@ -301,6 +298,13 @@ def wide_links(prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return met.filter("y is not null").select(x.alias("a"), y.alias("b")).union(stars).distinct()
 
 
+def _of_rows(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``rows`` (``id``, ``row``, ...) that are a node's, with ``node``. By the hash alone, which is one number, then the id."""
+    named = broadcast_if_small(nodes.select(F.col("row").alias("of_row"), F.col("id").alias("of_id"), "node"))
+    same_id = F.col("id").bitwiseXOR(F.col("of_id")) == 0
+    return rows.join(named, (F.col("row") == F.col("of_row")) & same_id).drop("of_row", "of_id")
+
+
 def alike(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """Those of ``pairs`` (a, b) of nodes whose texts share ``ALIKE`` of their runs of words or more, written.
 
@@ -308,7 +312,7 @@ def alike(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """
     pairs = cut(pairs)
     wanted = nodes.join(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "node").select("node", "id", "row")
-    found = texts.join(broadcast_if_small(cut(wanted)), ["id", "row"]).dropDuplicates(["node"])
+    found = _of_rows(texts, cut(wanted)).dropDuplicates(["node"])
     sets = cut(found.select("node", shingle_set(F.col("text")).alias("set")))
     side = lambda name: sets.select(F.col("node").alias(name), F.col("set").alias(f"set_{name}"))
     both = F.size(F.array_intersect("set_a", "set_b"))
@@ -316,47 +320,30 @@ def alike(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     return cut(pairs.join(side("a"), "a").join(side("b"), "b").filter(enough).select("a", "b"))
 
 
-def _rest(leading: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Texts of different groups that begin with one run: (run, node, root, n, early) of all, and of all but the run's largest group.
+def missing_pairs(leading: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs (a, b) among which are all near duplicates in different groups of ``roots`` (node, root).
 
-    ``early``: whether the run is one of the fewer that are enough against larger texts.
+    ``leading`` has each node's :func:`leading_runs`. A pair is looked at where the first run that both have can be at its
+    place: what comes behind it must be enough for ``ALIKE``. So one of the two has it early, and of a run's texts
+    only those that have it early are compared with the others; within a run's largest group none are.
     """
+    part, both = ALIKE[0], sum(ALIKE)
     placed = leading.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    runs = placed.select("node", "root", "n", "fewer", F.posexplode("runs").alias("at", "run"))
-    several = runs.groupBy("run").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most").select("run")
-    shared = cut(runs.join(broadcast_if_small(cut(several)), "run").select("run", "node", "root", "n", (F.col("at") < F.col("fewer")).alias("early")))
+    runs = placed.select("node", "root", "n", "early", F.posexplode("runs").alias("at", "run"))
+    runs = runs.select("run", "node", "root", "n", "at", (F.col("at") < F.col("early")).alias("early"))
+    several = runs.groupBy("run").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.max("early").alias("early"))
+    several = cut(several.filter("least <> most and early").select("run"))
+    shared = cut(runs.join(broadcast_if_small(several), "run"))
     by_root = shared.groupBy("run", "root").count()
     largest = by_root.groupBy("run").agg(F.max(F.struct("count", "root"))["root"].alias("largest"))
-    return shared, shared.join(broadcast_if_small(cut(largest)), "run").filter("root <> largest").drop("largest")
-
-
-def missing_links(leading: DataFrame, roots: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """What is left of the links (a, b): all near duplicates in different groups of ``roots`` (node, root) are joined by them.
-
-    ``leading`` has each node's :func:`leading_runs`; ``keep`` gives those of some pairs that are near duplicates.
-    """
-    shared, few = _rest(leading, roots)
-    x, y = few.alias("x"), shared.alias("y")
-    apart = F.col("x.root") != F.col("y.root")
-    small, large = F.least("x.n", "y.n"), F.greatest("x.n", "y.n")
-    early = ((F.col("x.n") <= F.col("y.n")) & F.col("x.early")) | ((F.col("y.n") <= F.col("x.n")) & F.col("y.early"))
-    possible = apart & (ALIKE[1] * small >= ALIKE[0] * large) & early
+    shared = cut(shared.join(broadcast_if_small(cut(largest)), "run").withColumn("few", F.col("root") != F.col("largest")).drop("largest"))
+    behind = lambda side: both * (F.col(f"{side}.n") - F.col(f"{side}.at")) >= part * (F.col("x.n") + F.col("y.n"))
+    possible = (F.col("x.root") != F.col("y.root")) & (F.col("x.n") <= F.col("y.n")) & behind("x") & behind("y")
     pair = (F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
-    sizes = shared.groupBy("run").count().join(few.groupBy("run").agg(F.count(F.lit(1)).alias("few")), "run")
-    links = None
-    if (sizes.agg(F.sum(F.col("count") * F.col("few"))).first()[0] or 0) > MANY_PAIRS:
-        # One of each run's texts stands for it; each text of the smaller groups meets some of those that its runs give.
-        order = F.xxhash64("node", "run")
-        hubs = cut(shared.groupBy("run").agg(F.min(F.struct(order.alias("order"), "node", "root", "n", "early")).alias("hub")).select("run", "hub.*"))
-        tried = few.alias("x").join(hubs.alias("y"), "run").filter(apart & (ALIKE[1] * small >= ALIKE[0] * large))
-        tried = tried.select(*pair, F.col("x.node").alias("of")).distinct()
-        turn = F.row_number().over(Window.partitionBy("of").orderBy(F.xxhash64("a", "b"), "a", "b"))
-        links = keep(tried.withColumn("turn", turn).filter(F.col("turn") <= HUBS).select("a", "b").distinct())
-        both = links.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
-        shared, few = _rest(leading, components(both))
-        x, y = few.alias("x"), shared.alias("y")
-    last = keep(x.join(y, "run").filter(possible).select(*pair).distinct())
-    return last if links is None else links.union(last)
+    early = shared.filter("early")
+    met = [early.filter("few").alias("x").join(shared.alias("y"), "run"), early.filter("not few").alias("x").join(shared.filter("few").alias("y"), "run")]
+    found = [m.filter(possible).select(*pair) for m in met]
+    return found[0].union(found[1]).distinct()
 
 
 def near_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -373,9 +360,9 @@ def near_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     # Copies have their first one's runs and drop out in the join.
     hot = hot_bits(nodes.select("low"))
-    leading = docs.select("id", "row", leading_runs(F.col("text"), docs.sparkSession, hot).alias("l")).dropDuplicates(["id", "row"])
-    leading = cut(leading.join(broadcast_if_small(named), ["id", "row"]).select("node", "l.*"))
-    more = missing_links(leading, roots, keep)
+    leading = docs.select("id", "row", leading_runs(F.col("text"), docs.sparkSession, hot).alias("l"))
+    leading = cut(_of_rows(leading, named).select("node", "l.*").dropDuplicates(["node"]))
+    more = keep(missing_pairs(leading, roots))
     if more.limit(1).count():
         roots = components(links.union(more))
     placed = cut(nodes.join(roots, "node", "left").select("fp", "first", F.coalesce("root", "node").alias("root")))
@@ -389,8 +376,8 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
 
     Groups are the components of all pairs of texts that share ``ALIKE`` of their distinct runs of five words. Fingerprints
     within ``WIDE_RADIUS`` bits find most such pairs. The others are found without fail: any two texts that much
-    alike begin with a common run, in an order of all runs that has frequent ones last; texts in one bucket of a run
-    are compared if fingerprints have left them in different groups. So of a bucket whose texts are all in one group no pair is
+    alike begin with a common run, in an order of all runs that has frequent ones last; texts that do
+    are compared if fingerprints have left them in different groups. So of a run's texts that are all in one group no pair is
     looked at. Of rows with equal ids and words the one with the least hash of all its columns stays.
     """
     let_workers_import(docs.sparkSession)

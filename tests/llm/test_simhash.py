@@ -175,10 +175,9 @@ def exact_groups(texts):
 @pytest.mark.parametrize("crowded", [False, True])
 def test_groups_are_those_of_all_pairs(spark, crowded, monkeypatch):
     """Chains and crowds of copies around 0.8, passages that unlike texts share, and texts of a few words."""
-    if crowded:  # every bucket is one, runs are frequent ones, and hubs are tried
+    if crowded:  # every bucket is one, and runs are frequent ones
         monkeypatch.setattr(S.wide_links, "__defaults__", (0,))
-        for name, value in (("HOT", 1), ("MANY_PAIRS", 0), ("HUBS", 1)):
-            monkeypatch.setattr(S, name, value)
+        monkeypatch.setattr(S, "HOT", 1)
     rng = random.Random(4)
     words = [f"w{i}" for i in range(400)]
     passage = rng.sample(words, 60)
