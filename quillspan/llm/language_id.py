@@ -12,8 +12,8 @@ Each row brings up to four kinds of evidence, and the posterior multiplies them:
   domain, that towards its suffix's and that towards all rows'.
 
 Tables of declarations, suffixes and hosts are grouped sums of the rows' text posteriors, so
-no row counts for more than one and all rows count. A row's own share is taken out of
-the host's sums before they judge it.
+no row counts for more than one and all rows count. A row's own share is taken out of all of them,
+at each level, before they judge it.
 
 Scale: texts are read once each for training and scoring; only a few numbers per row are
 shuffled. Training counts are summed in each task: at most languages times ``BUCKETS``
@@ -21,6 +21,9 @@ numbers leave it, and the model, of that size, is broadcast. Host sums are reduc
 each task; a host with a third of all rows is joined back by a join that adaptive execution
 can split, as the other side has one row per host.
 
+Pages are stripped of tags in one forward scan, however many are left open. Of ties in probability the first language
+in alphabetical order is taken.
+
 Cases: a null or empty text gives no text evidence, a null or missing declaration none, and
 a row without any evidence gets the languages of all rows. A null host has no host prior of its own.
 Repeated rows are judged one by one. Without labelled documents, or with an empty table,
@@ -48,16 +51,46 @@ BUCKETS = 1 << 15
 TEMPER, MOST = 0.1, 30.0
 #: Rows that a parent's languages count for in its children's.
 PRIOR_ROWS = 5.0
-#: Most languages that are told apart; it bounds the model.
+#: Most languages that are told apart, those with most text: a bound on the classifier. Rows labelled otherwise teach nothing.
 MAX_LANGUAGES = 500
 
-_DROP = re.compile(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
+_RAW = re.compile(r"(script|style)\b", re.IGNORECASE)
+_CLOSED = {name: re.compile(rf"</{name}\s*>", re.IGNORECASE) for name in ("script", "style")}
 _SPACE = re.compile(r"\s+")
 
 
+def without_tags(source: str) -> str:
+    """``source`` with a blank for each tag, comment and whole script or style. What isn't closed by anything is text.
+
+    Each kind of end is sought onward only, and no more once there is none.
+    """
+    parts, at, done = [], 0, set()
+
+    def end_of(kind: str, seek) -> int:
+        found = -1 if kind in done else seek()
+        if found < 0:
+            done.add(kind)
+        return found
+
+    while (begin := source.find("<", at)) >= 0:
+        end = -1
+        if source.startswith("<!--", begin):
+            end = end_of("-->", lambda: found + 3 if (found := source.find("-->", begin + 4)) >= 0 else -1)
+        elif raw := _RAW.match(source, begin + 1):
+            name = "style" if len(raw[1]) == 5 else "script"
+            end = end_of(name, lambda: m.end() if (m := _CLOSED[name].search(source, raw.end())) else -1)
+        if end < 0:
+            end = end_of(">", lambda: found + 1 if (found := source.find(">", begin)) >= 0 else -1)
+        if end < 0:
+            break
+        parts.append(source[at:begin])
+        at = end
+    return " ".join([*parts, source[at:]])
+
+
 def page_text(source: str | None) -> str:
     """The text of a page without scripts, styles, comments and tags."""
-    return _SPACE.sub(" ", html.unescape(_DROP.sub(" ", source))) if source else ""
+    return _SPACE.sub(" ", html.unescape(without_tags(source))) if source else ""
 
 
 def trigram_classes(text: str | None) -> np.ndarray:
@@ -84,12 +117,11 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang") -> tuple[
 
     rows = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang")).filter("text is not null and lang is not null")
     counted = cut(rows.mapInPandas(count, "lang string, class long, n long").groupBy("lang", "class").agg(F.sum("n").alias("n")))
-    languages = sorted(r["lang"] for r in counted.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect())
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages are labelled")
+    most = counted.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
+    languages = sorted(r["lang"] for r in most.collect())
     sums = np.ones((BUCKETS, len(languages)))
     at = {name: i for i, name in enumerate(languages)}
-    for r in counted.toLocalIterator():  # at most languages x classes rows, whatever the size of the corpus
+    for r in counted.filter(F.col("lang").isin(languages)).toLocalIterator():  # at most languages x classes rows
         sums[r["class"], at[r["lang"]]] += r["n"]
     return languages, np.log(sums / sums.sum(axis=0)).astype(np.float32)
 
@@ -120,15 +152,10 @@ def _normal(weights: Column) -> Column:
     return F.transform(F.array(F.struct(weights.alias("w"), total.alias("t"))), lambda s: F.transform(s["w"], lambda w: w / s["t"]))[0]
 
 
-def _sums(rows: DataFrame, key: str, size: int) -> DataFrame:
+def _sums(rows: DataFrame, key: str, size: int, name: str) -> DataFrame:
     """Per key (not null) the sum of the rows' text posteriors; partial sums leave each task."""
-    total = F.array(*(F.sum(F.round(F.col("posterior")[i], 6)) for i in range(size)))
-    return rows.filter(F.col(key).isNotNull()).groupBy(key).agg(total.alias("sums"))
-
-
-def _smoothed(sums: Column, parent: Column) -> Column:
-    """Languages of a place: its own rows' and ``PRIOR_ROWS`` rows of its parent's."""
-    return _normal(F.zip_with(sums, parent, lambda n, p: n + PRIOR_ROWS * p))
+    total = F.array(*(F.sum(F.col("posterior")[i]) for i in range(size)))
+    return cut(rows.filter(F.col(key).isNotNull()).groupBy(key).agg(total.alias(name)))
 
 
 def fuse(rows: DataFrame, languages: list[str]) -> DataFrame:
@@ -137,33 +164,32 @@ def fuse(rows: DataFrame, languages: list[str]) -> DataFrame:
     ``rows`` has ``evidence`` (from :func:`text_evidence`), ``declared``, ``suffix``, ``domain`` and ``host``.
     """
     size = len(languages)
-    rows = cut(rows.withColumn("posterior", _normal(F.transform("evidence", F.exp))))
+    # Posteriors in millionths, so that sums are exact and a row's own share comes out of them whole.
+    share = F.transform(_normal(F.transform("evidence", F.exp)), lambda p: F.round(p * 1_000_000).cast("long"))
+    rows = cut(rows.withColumn("posterior", share))
     whole = rows.agg(*(F.sum(F.col("posterior")[i]) for i in range(size))).first()
-    counts = [float(v or 0) + 1.0 for v in whole]
-    everywhere = F.array(*(F.lit(c / sum(counts)) for c in counts))
-    none = F.array(*(F.lit(0.0) for _ in range(size)))
-    suffixes = cut(_sums(rows, "suffix", size).select("suffix", _smoothed(F.col("sums"), everywhere).alias("p_suffix")))
-    of_domain = _sums(rows, "domain", size)
-    parents = rows.filter("domain is not null").groupBy("domain").agg(F.first("suffix").alias("suffix"))
-    domains = of_domain.join(parents, "domain").join(broadcast_if_small(suffixes), "suffix", "left")
-    domains = cut(domains.select("domain", _smoothed(F.col("sums"), F.coalesce("p_suffix", everywhere)).alias("p_domain")))
-    hosts = _sums(rows, "host", size).select("host", F.col("sums").alias("host_sums"))
-    declared = cut(_sums(rows, "declared", size))
+    everyone = F.array(*(F.lit(int(v or 0)) for v in whole))
+    levels = {"suffix": "of_suffix", "domain": "of_domain", "host": "of_host", "declared": "of_declared"}
+    joined, kinds = rows, 1
+    for key, name in levels.items():
+        table = _sums(rows, key, size, name)
+        kinds = table.count() + 1 if key == "declared" else kinds
+        joined = joined.join(broadcast_if_small(table, row_bytes=64 + 8 * size), key, "left")
+
+    own = F.col("posterior")
+    others = lambda sums: F.zip_with(sums, own, lambda n, o: (n - o) / 1_000_000)
+    # Languages of a place: the other rows' and PRIOR_ROWS rows of its parent's; a row without that place has the parent's.
+    below = lambda name, parent: F.coalesce(_normal(F.zip_with(others(F.col(name)), parent, lambda n, p: n + PRIOR_ROWS * p)), parent)
+    joined = joined.withColumn("rest", others(everyone))
+    joined = joined.withColumn("prior", _normal(F.transform("rest", lambda n: n + 1)))
+    for name in ("of_suffix", "of_domain", "of_host"):
+        joined = joined.withColumn("prior", below(name, F.col("prior")))
     # P(declared | language) is the declaration's sum in that language over the language's: add one spreads over declarations.
-    kinds = declared.count() + 1
-    chance = F.transform(F.zip_with("sums", F.array(*map(F.lit, counts)), lambda n, all_: (n + 1.0) / (all_ + kinds)), lambda p: p)
-    declared = declared.select("declared", chance.alias("p_declared"))
-    joined = rows.join(broadcast_if_small(declared), "declared", "left").join(broadcast_if_small(domains), "domain", "left")
-    joined = joined.join(broadcast_if_small(hosts), "host", "left")
-    rest = F.zip_with(F.coalesce("host_sums", none), F.col("posterior"), lambda n, own: F.greatest(n - own, F.lit(0.0)))
-    own_rest = F.when(F.col("host").isNull(), none).otherwise(rest)
-    prior = _smoothed(own_rest, F.coalesce("p_domain", everywhere))
-    joined = joined.withColumn("prior", prior)
-    log = lambda column: F.transform(F.col(column), lambda p: F.log(p))
+    chance = F.zip_with(others(F.col("of_declared")), F.col("rest"), lambda n, all_: (n + 1.0) / (all_ + 1.0 + kinds))
+    log = lambda column: F.transform(column, lambda p: F.log(p))
     add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
-    total = add(F.col("evidence"), log("prior"))
-    total = F.when(F.col("p_declared").isNotNull(), add(total, log("p_declared"))).otherwise(total)
-    joined = joined.withColumn("total", total)
+    total = add(F.col("evidence"), log(F.col("prior")))
+    joined = joined.withColumn("total", F.coalesce(add(total, log(chance)), total))
     top = F.array_max("total")
     fused = _normal(F.transform("total", lambda t: F.exp(t - top)))
     names = F.array(*map(F.lit, languages))
@@ -191,7 +217,8 @@ def op4_language_id(spark, sf_dir: str) -> DataFrame:
         return spark.createDataFrame([], "doc_id long, page_id long, declared string, host string, language string, probability double,"
                                          " text_language string, host_language string")
     host = host_of(F.col("url"))
-    markup = F.regexp_extract("html", r"(?i)<html\b[^>]{0,500}?\blang\s*=\s*[\"']?([A-Za-z]{2,3})", 1)
+    tag = F.regexp_extract("html", r"(?i)<html\b([^>]*+)", 1)
+    markup = F.regexp_extract(tag, r"(?i)\blang\s*+=\s*+[\"']?([A-Za-z]{2,3})", 1)
     from_pages = pages.select(
         F.lit(None).cast("long").alias("doc_id"), "page_id",
         F.when(markup != "", F.lower(markup)).alias("declared"),

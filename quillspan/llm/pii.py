@@ -8,7 +8,9 @@ values meet in one, and whoever has the key can undo it. Separators stay where t
 
 A number below a * b is held as two digits, of radix a and of radix b; each round adds to
 one a keyed hash of the other. Text (the local part of an address, a key) is
-held as two halves; letters and digits shift within a-z, A-Z and 0-9.
+held as two halves; letters and digits shift within a-z, A-Z and 0-9, by a keyed hash of the other half
+and the number of the block that they are in, so no part of the key stream comes twice. A text of one letter has an
+empty other half: all such are shifted alike.
 
 Kinds: card numbers of 13 to 19 digits (first digit kept, check digit recomputed), IPv4
 addresses, North American phone and social security numbers, dates from 1900 to 2099
@@ -35,6 +37,8 @@ from quillspan.llm.common import LOWER, UPPER, fresh
 from quillspan.sources.tables import read_table
 
 ROUNDS = 8
+#: Characters of a text that one hash moves.
+BLOCK = 31
 DIGITS = "0123456789"
 
 # Formats. Each begins at a character that is checked first, and has bounded or possessive repeats.
@@ -46,11 +50,11 @@ _DATE = r"\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}\.\d{2}\.\d{4}"
 _NUMBER = rf"(?:{_CARD}|{_PHONE}|{_IP}|{_SSN}|{_DATE})(?![0-9A-Za-z_])(?![.-][0-9])"
 NUMBERS = rf"(?=[0-9+(])(?<![0-9A-Za-z_+])(?<![0-9][.-])(?:{_NUMBER}|(?:{_DATE})(?=T[0-9]))"
 EMAILS = (
-    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+){0,8}?\.[A-Za-z]{2,24}(?![A-Za-z0-9-])"
+    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+){0,8}?\.[A-Za-z]{2,24}(?![A-Za-z0-9-])"
 )
 _SECRET_WORDS = r"(?i:token|password|secret|api_key)"
-SECRETS = rf"\bAKIA[A-Z0-9]{{16}}\b|\b{_SECRET_WORDS}[ \t]{{0,3}}[=:][ \t]{{0,3}}[\"']?[A-Za-z0-9+/_-]{{8,}}+"
-_SECRET_PREFIX = rf"^((?:{_SECRET_WORDS}[ \t]{{0,3}}[=:][ \t]{{0,3}}[\"']?)?)"
+SECRETS = rf"\bAKIA[A-Z0-9]{{16}}\b|\b{_SECRET_WORDS}[ \t]*+[=:][ \t]*+[\"']?[A-Za-z0-9+/_-]{{8,}}+"
+_SECRET_PREFIX = rf"^((?:{_SECRET_WORDS}[ \t]*+[=:][ \t]*+[\"']?)?)"
 _FIRST_DAY, _DAYS = "1900-01-01", 365 * 200
 
 
@@ -80,11 +84,11 @@ def permute(x: Column, a: Column, b: Column, key: str, kind: str | Column, undo:
     return F.reduce(_rounds(undo), start, step, lambda pair: pair["left"] * b + pair["right"])
 
 
-def _shift(half: Column, by: Column, sign: int) -> Column:
-    """Move each letter and digit of ``half`` within its own alphabet by the hexadecimal digits of ``by``."""
+def _shift_block(block: Column, by: Column, sign: int) -> Column:
+    """Move each letter and digit of up to ``BLOCK`` characters within its own alphabet by the hexadecimal digits of ``by``."""
 
     def moved(c: Column, i: Column) -> Column:
-        amount = F.conv(F.substr(by, (i % 31) * 2 + 1, F.lit(2)), 16, 10).cast("int")
+        amount = F.conv(F.substr(by, i * 2 + 1, F.lit(2)), 16, 10).cast("int")
         out = c
         for alphabet in (DIGITS, LOWER, UPPER):
             at = F.instr(F.lit(alphabet), c)
@@ -92,7 +96,19 @@ def _shift(half: Column, by: Column, sign: int) -> Column:
             out = F.when((at > 0) & (c != ""), turned).otherwise(out)
         return out
 
-    return F.array_join(F.transform(F.split(half, ""), moved), "")
+    return F.array_join(F.transform(F.split(block, ""), moved), "")
+
+
+def _shift(half: Column, stream: Column, sign: int) -> Column:
+    """Move the characters of ``half`` by a key stream in counter mode: each block's is a hash of ``stream`` and its number."""
+
+    def in_blocks(s: Column) -> Column:
+        blocks = F.regexp_extract_all(half, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+        by = lambda i: F.sha2(F.concat_ws("|", s, i.cast("string")), 256)
+        moved = lambda block, i: F.transform(F.array(by(i)), lambda h: _shift_block(block, h, sign))[0]
+        return F.array_join(F.transform(blocks, moved), "")
+
+    return F.transform(F.array(stream), in_blocks)[0]
 
 
 def permute_text(text: Column, key: str, kind: str, undo: bool = False) -> Column:

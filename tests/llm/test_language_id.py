@@ -60,3 +60,77 @@ def test_query_on_odd_rows(spark, tmp_path):
     assert {r["language"] for r in got if r["page_id"] == 1} == {"fr"}
     empty = L.op4_language_id(spark, f"{tmp_path}/empty")
     assert empty.count() == 0 and empty.columns == L.op4_language_id(spark, f"{tmp_path}/full").columns
+
+
+def brute_fuse(rows, size):
+    """Probabilities of each row (evidence, declared, suffix, domain, host), its own share out of every sum."""
+    def normal(w):
+        return w / w.sum()
+
+    shares = [np.round(normal(np.exp(np.array(e))) * 1e6) / 1e6 for e, *_ in rows]
+    kinds = len({r[1] for r in rows if r[1] is not None}) + 1
+    out = []
+    for i, (evidence, *keys) in enumerate(rows):
+        rest = [j for j in range(len(rows)) if j != i]
+        total = sum((shares[j] for j in rest), np.zeros(size))
+        prior = normal(total + 1)
+        for k in (1, 2, 3):
+            if keys[k] is not None:
+                prior = normal(sum((shares[j] for j in rest if rows[j][k + 1] == keys[k]), np.zeros(size)) + L.PRIOR_ROWS * prior)
+        weights = np.exp(evidence) * prior
+        if keys[0] is not None:
+            weights = weights * (sum((shares[j] for j in rest if rows[j][1] == keys[0]), np.zeros(size)) + 1) / (total + 1 + kinds)
+        out.append(normal(weights))
+    return out
+
+
+def fused(spark, rows, languages):
+    frame = spark.createDataFrame([(i, d, s, m, h, e) for i, (e, d, s, m, h) in enumerate(rows)],
+                                  "id int, declared string, suffix string, domain string, host string, evidence array<double>")
+    return {r["id"]: r for r in L.fuse(frame.repartition(3), languages).collect()}
+
+
+def test_fusion_equals_brute_force(spark):
+    rng = random.Random(7)
+    some = lambda *values: rng.choice([None, *values])
+    rows = []
+    for _ in range(60):
+        suffix, domain = rng.choice([("fr", "a.fr"), ("fr", "b.fr"), ("com", "c.com"), (None, "docs"), (None, None)])
+        rows.append(([rng.uniform(-4, 0) for _ in range(3)], some("fr", "en", "xx"), suffix, domain, some("h1", "h2", "h3") if domain else None))
+    got = fused(spark, rows, ["de", "en", "fr"])
+    for i, want in enumerate(brute_fuse(rows, 3)):
+        assert got[i]["language"] == ["de", "en", "fr"][int(want.argmax())] and abs(got[i]["probability"] - want.max()) < 2e-6
+
+
+def test_a_row_does_not_judge_itself(spark):
+    rows = [([0.0, -20.0], None, "com", "x.com", "x.com")] * 10 + [([-2.0, 0.0], None, "net", "alone.net", "alone.net")]
+    alone = fused(spark, rows, ["x", "y"])[10]
+    assert alone["language"] == "x" and abs(alone["probability"] - 11 / (11 + np.exp(2.0))) < 1e-4 and alone["text_language"] == "y"
+
+
+def test_tags_go_in_one_scan():
+    import re
+    import time
+
+    drop = re.compile(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
+    rng = random.Random(1)
+    bits = ["<script", "<SCRIPT x>", "</script>", "</Script >", "<style>", "</style>", "<!--", "-->", "<b>", "</p>", "<", ">", "a", " b ", "é", "<scripty>", "-"]
+    for _ in range(4000):
+        page = "".join(rng.choice(bits) for _ in range(rng.randrange(14)))
+        assert L.without_tags(page) == drop.sub(" ", page), page
+    for unit in ("<script x", "<!-- a ", "<style>", "<a ", "<"):
+        begun = time.process_time()
+        L.page_text(unit * (1_000_000 // len(unit)))
+        assert time.process_time() - begun < 2
+
+
+def test_many_labels_and_long_tags(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(L, "MAX_LANGUAGES", 3)
+    rows = [("a text of words " * (9 if i < 3 else 1), f"l{i}") for i in range(6)]
+    assert L.train(spark.createDataFrame(rows, "text string, lang string"))[0] == ["l0", "l1", "l2"]
+    docs = [(1, "la le de que", "fr", "s"), (2, "the of and", "en", "s")]
+    pages = [(1, "http://a.b/", f"<HTML data-x='{'y' * 3000}' LANG = 'FR'><p>x"), (2, "http://a.b/", "<html " * 100_000)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["page_id"]: r["declared"] for r in L.op4_language_id(spark, str(tmp_path)).collect()}
+    assert got[1] == "fr" and got[2] is None

@@ -1,5 +1,6 @@
 """Pseudonyms: formats, links between equal values, exact round trips and what is left alone."""
 
+import hashlib
 import re
 
 import pytest
@@ -80,3 +81,57 @@ def test_permutations_are_one_to_one(spark, a, b):
 def test_text_permutation_is_one_to_one(spark):
     texts = spark.range(1000).select(F.format_string("%03d", "id").alias("t"))
     assert texts.select(permute_text(F.col("t"), "k", "t").alias("y")).distinct().count() == 1000
+
+
+def sha(*parts):
+    return hashlib.sha256("|".join(map(str, parts)).encode()).hexdigest()
+
+
+def brute_text(text, key, kind):
+    left, right = text[: len(text) // 2], text[len(text) // 2 :]
+    for i in range(8):
+        moved, other = (left, right) if i % 2 == 0 else (right, left)
+        stream, out = sha(key, kind, i, other), []
+        for at, c in enumerate(moved):
+            amount = int(sha(stream, at // 31)[2 * (at % 31) :][:2], 16)
+            for alphabet in ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"):
+                if c in alphabet:
+                    c = alphabet[(alphabet.index(c) + amount) % len(alphabet)]
+                    break
+            out.append(c)
+        left, right = ("".join(out), right) if i % 2 == 0 else (left, "".join(out))
+    return left + right
+
+
+def brute_number(x, a, b, key, kind):
+    left, right = divmod(x, b)
+    for i in range(8):
+        if i % 2 == 0:
+            left = (left + int(sha(key, kind, i, right)[:15], 16)) % a
+        else:
+            right = (right + int(sha(key, kind, i, left)[:15], 16)) % b
+    return left * b + right
+
+
+def test_permutations_equal_brute_force(spark):
+    texts = ["", "a", "Zz", "x.9-Y", "b7db7aa4a5fcc78305", "aB3_" * 100]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string").select("t", permute_text(F.col("t"), "k", "secret").alias("p"))
+    assert {r["t"]: r["p"] for r in frame.collect()} == {t: brute_text(t, "k", "secret") for t in texts}
+    numbers = [0, 1, 77, 12_344, 99 * 127 - 1]
+    long = lambda n: F.lit(n).cast("long")
+    frame = spark.createDataFrame([(n,) for n in numbers], "n long").select("n", permute(F.col("n"), long(99), long(127), "k", "card").alias("p"))
+    assert {r["n"]: r["p"] for r in frame.collect()} == {n: brute_number(n, 99, 127, "k", "card") for n in numbers}
+
+
+def test_the_image_of_equal_characters_has_no_period(spark):
+    text = replaced(spark, ["token=" + "a" * 2000])[0][0][6:]
+    for part in (text[:1000], text[1000:]):
+        assert all(sum(a == b for a, b in zip(part, part[q:])) < 0.2 * len(part) for q in range(1, 500))
+
+
+def test_wide_assignments_and_long_addresses(spark):
+    texts = ["password    = abcdefghij12", "secret \t \t :\t\t\t\t'abcdefghij12'", "x" * 65 + "@mail.example.com", "token" + " " * 50_000 + "=" + " " * 50_000]
+    out = replaced(spark, texts)
+    assert [out[i][1] for i in range(4)] == [1, 1, 1, 0] and not any("abcdefghij12" in out[i][0] for i in (0, 1)) and "x" * 20 not in out[2][0]
+    back = replaced(spark, [out[i][0] for i in range(4)], undo=True)
+    assert [back[i][0] for i in range(4)] == texts
