@@ -14,7 +14,7 @@ for want of documents.
 
 Cases: a null or empty text is just its end id. A text of any length is cut into pieces.
 Repeated rows are packed one by one. A null id is kept. Documents go to groups by id,
-token count and checksum, so ids that repeat over different texts spread. An empty table
+token count, checksum and their number in the task that read them, so ids that many rows repeat spread, over equal texts too. An empty table
 gives an empty result. Only the id and text columns are read, so others can't clash.
 """
 
@@ -26,6 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -86,18 +87,19 @@ def pack(docs: DataFrame, path: str, capacity: int, end_id: int, group_docs: int
     kind = dict(docs.dtypes)["doc_id"]
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = words_of(shared, as_bytes)
+        words, before = words_of(shared, as_bytes), TaskContext.get().partitionId() << 40
         for batch in batches:
             rows: list[tuple[int, ...]] = []
             for at, found in enumerate(words.values(t.as_py() for t in batch["text"])):
                 ids = b"".join([*found, end])
                 n = len(ids) // 4
                 sums = [zlib.crc32(ids[4 * s : 4 * (s + capacity)]) for s in range(0, n, capacity)]
-                rows += [(at, s, min(capacity, n - s), crc, n, sums[0]) for s, crc in zip(range(0, n, capacity), sums)]
-            columns = np.array(rows, np.int64).reshape(-1, 6).T
+                rows += [(at, s, min(capacity, n - s), crc, n, sums[0], before + at) for s, crc in zip(range(0, n, capacity), sums)]
+            before += batch.num_rows
+            columns = np.array(rows, np.int64).reshape(-1, 7).T
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"].take(pa.array(columns[0])), *(pa.array(c) for c in columns[1:])],
-                ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "head"],
+                ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "head", "nth"],
             )
 
     def fill(group: pa.Table) -> pa.Table:
@@ -108,11 +110,11 @@ def pack(docs: DataFrame, path: str, capacity: int, end_id: int, group_docs: int
         return placed.append_column("sequence_id", pa.array(first + sequence)).append_column("offset", pa.array(offset))
 
     parts = max(1, -(-docs.count() // group_docs))
-    cut = docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(pieces, f"doc_id {kind}, {PIECE}, head long")
-    part = F.pmod(F.xxhash64("doc_id", "doc_tokens", "head", F.lit(seed)), F.lit(parts))
+    cut = docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(pieces, f"doc_id {kind}, {PIECE}, head long, nth long")
+    part = F.pmod(F.xxhash64("doc_id", "doc_tokens", "head", "nth", F.lit(seed)), F.lit(parts))
     return (
         cut.withColumn("part", part)
-        .drop("head")
+        .drop("head", "nth")
         .groupBy("part")
         .applyInArrow(fill, f"doc_id {kind}, {PIECE}, sequence_id long, offset long")
     )

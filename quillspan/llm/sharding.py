@@ -12,14 +12,16 @@ order, so the walk needs only the row count of each place. That table has ``BUCK
 rows whatever the size of the data, and the driver walks it (places visited in a
 pseudo-random order, as keys arriving at random would be). The walk gives pieces "rows
 r to s of this place go to shard x, slots from b on"; a row finds its rank within its
-place by a window over that place alone. At 1e11 rows a place has about 1.5 million.
+place by a window over that place alone. At 1e11 rows a place has about 1.5 million. A place with more than
+``WINDOW_ROWS``, such as that of an id which many rows repeat, is several windows, to which its rows are dealt at random; a
+window's ranks begin where those before it end.
 
 Only the id, the size and the checksum of a document are shuffled, never its text.
 
 Cases: a null text has size 1 and the checksum of no bytes. A null id is placed by the
 text instead, so that many of them spread over the ring. Rows that repeat an id share
 its place; rows equal in id, size and checksum are interchangeable. An empty table gives
-an empty result. Only the id and text columns are read, so others can't clash.
+an empty result. A text of any length only gives its size and checksum. Only the id and text columns are read, so others can't clash.
 """
 
 from __future__ import annotations
@@ -30,11 +32,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillspan.llm.common import fresh
+from quillspan.llm.common import broadcast_if_small, cut, fresh
 from quillspan.sources.tables import read_table
 
 #: Places of the ring. It bounds what the driver sees and, with the number of rows, the size of a window.
 BUCKETS = 65_536
+#: Rows of a place that are ranked in one task.
+WINDOW_ROWS = 250_000
 
 
 def place_of(key: Column, seed: int, buckets: int = BUCKETS) -> Column:
@@ -96,8 +100,22 @@ def assign_shards(
         walk(counts, shards, vnodes, seed, buckets), "piece_place int, piece_from long, piece_to long, shard int, piece_slot long"
     )
     # At most one piece per place and one more for each time that a shard fills up: bounded by BUCKETS + shards.
-    within = Window.partitionBy(place).orderBy(F.xxhash64(key, F.lit(seed + 1)), *order_by)
-    ranked = placed.withColumn(rank, (F.row_number().over(within) - 1).cast("long"))
+    hot = {p: -(-n // WINDOW_ROWS) for p, n in counts.items() if n > WINDOW_ROWS}
+    window, before = fresh(rows, "window"), fresh(rows, "before")
+    if hot:
+        windows = rows.sparkSession.createDataFrame(list(hot.items()), "of_place int, windows int")  # BUCKETS rows at most
+        dealt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("windows")).cast("int")
+        placed = placed.join(F.broadcast(windows), F.col(place) == F.col("of_place"), "left").withColumn(window, F.coalesce(dealt, F.lit(0)))
+        placed = cut(placed.drop("of_place", "windows"))
+        sizes = placed.groupBy(place, window).count()
+        upto = F.sum("count").over(Window.partitionBy(place).orderBy(window).rowsBetween(Window.unboundedPreceding, 0))
+        starts = cut(sizes.select(F.col(place).alias("s_place"), F.col(window).alias("s_window"), (upto - F.col("count")).alias(before)))
+        here = (F.col(place) == F.col("s_place")) & (F.col(window) == F.col("s_window"))
+        placed = placed.join(broadcast_if_small(starts), here).drop("s_place", "s_window")
+    else:
+        placed = placed.withColumns({window: F.lit(0), before: F.lit(0)})
+    within = Window.partitionBy(place, window).orderBy(F.xxhash64(key, F.lit(seed + 1)), *order_by)
+    ranked = placed.withColumn(rank, (F.row_number().over(within) - 1 + F.col(before)).cast("long"))
     kept = [c for c in rows.columns if c not in ("shard", "slot")]
     found = ranked.join(
         F.broadcast(pieces),

@@ -100,3 +100,12 @@ def test_packed_pieces_hold_every_id_once(spark, library, rows):
             assert offset == end
             end += length
         assert end <= 256
+
+
+def test_equal_rows_spread_over_the_groups(spark):
+    docs = spark.createDataFrame([(None, "the same text")] * 6000 + [(i, f"text {i}") for i in range(2000)], "doc_id long, text string").repartition(8)
+    rows = pack(docs, PATH, 2048, 1, group_docs=200).collect()
+    sizes = defaultdict(int)
+    for r in rows:
+        sizes[r["sequence_id"] >> 32] += 1
+    assert len(rows) == 8000 and len(sizes) == 40 and max(sizes.values()) < 2 * 200

@@ -1,6 +1,7 @@
 """URL filters and sharding against brute force."""
 
 import random
+import zlib
 
 import pytest
 
@@ -132,6 +133,18 @@ def test_one_more_shard_moves_few_rows(spark):
     assert 20_000 // 9 * 0.9 < moved < 20_000 * 0.25
 
 
+def test_an_id_in_a_third_of_the_rows_is_several_windows(spark, monkeypatch):
+    rows = spark.range(9000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("doc_id"), F.lit(1).alias("window"))
+    whole = assign_shards(rows, F.col("doc_id"), ["doc_id"], 8).groupBy("shard").count().collect()
+    monkeypatch.setattr("quillspan.llm.sharding.WINDOW_ROWS", 100)
+    got = assign_shards(rows, F.col("doc_id"), ["doc_id"], 8)
+    assert got.columns == ["doc_id", "window", "shard", "slot"]
+    assert sorted(got.groupBy("shard").count().collect()) == sorted(whole)
+    found = got.collect()
+    assert sorted(r["doc_id"] for r in found) == sorted(r["doc_id"] for r in rows.collect())
+    assert all(sorted(r["slot"] for r in found if r["shard"] == s) == list(range(1125)) for s in range(8))
+
+
 @pytest.mark.parametrize("n", [0, 1, 7, 8, 1000])
 def test_shards_are_even_and_slots_gapless(spark, tmp_path, n):
     rows = [(None if i % 3 == 0 else i % 50, None if i % 7 == 0 else "é" * (i % 11)) for i in range(n)]
@@ -142,4 +155,6 @@ def test_shards_are_even_and_slots_gapless(spark, tmp_path, n):
     slots = {s: sorted(r["slot"] for r in got if r["shard"] == s) for s in range(8)}
     assert all(v == list(range(len(v))) for v in slots.values())
     assert max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
-    assert sorted((r["doc_id"] is None, r["size"]) for r in got) == sorted((d is None, len((t or "").encode()) + 1) for d, t in rows)
+    facts = lambda d, t: (str(d), len((t or "").encode()) + 1, zlib.crc32((t or "").encode()))
+    assert sorted((str(r["doc_id"]), r["size"], r["text_crc32"]) for r in got) == sorted(facts(d, t) for d, t in rows)
+    assert all(r["law"] == "rows" and r["grown_shard"] is None for r in got)
