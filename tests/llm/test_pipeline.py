@@ -1,5 +1,6 @@
 """The pipeline's stages on small tables."""
 
+import random
 import re
 from collections import defaultdict
 
@@ -7,7 +8,9 @@ import __spark_entry__ as contract
 import corpus_pipeline
 from conftest import TESTDATA
 from quillspan.llm import queries
+from quillspan.llm.common import written
 from quillspan.llm.quality_rules import judge_quality
+from pyspark.sql import functions as F
 
 
 def test_stages_in_order(spark, tmp_path):
@@ -55,3 +58,26 @@ def test_every_operator_has_a_query():
     numbers = sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES)
     assert numbers == list(range(1, 14)) and set(queries.QUERIES) | {"pipeline"} <= set(contract.queries())
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES) and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_odd_rows_and_clashing_columns(spark, tmp_path):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("etaoinshr") for _ in range(rng.randrange(2, 8)))
+    good = [" ".join(word() for _ in range(rng.randrange(60, 200))) for _ in range(30)]
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(good)]
+    rows += [rows[0], rows[1], (None, good[2], None, None, 0), (None, None, "en", "s", 0), (50, "", "en", "s", 0), (51, None, None, None, None)]
+    rows += [(60, " ".join(word() for _ in range(30_000)), "en", None, 7), (61, good[3] + " mail ann.lee@example.com", "en", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for name in ("n_replaced", "id", "row", "group", "kept", "tokens", "fp"):
+        docs = docs.withColumn(name, F.lit("mine"))
+    docs.repartition(3).write.parquet(f"{tmp_path}/full/documents.parquet")
+    docs.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    now = spark.read.parquet(f"{tmp_path}/full/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now = written(stage(spark, now, f"{tmp_path}/full"))
+        assert now.columns == docs.columns and {r["n_replaced"] for r in now.collect()} == {"mine"}, name
+        if name == "simhash near-dedup":
+            assert sorted(r["doc_id"] for r in now.collect()) == [*range(30), 60]
+    got = corpus_pipeline.run(spark, f"{tmp_path}/full").collect()
+    assert {r["doc_id"] for r in got} == {*range(30), 60}
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
