@@ -146,8 +146,8 @@ def group_by_fingerprint(prints: DataFrame, radius: int, segments: int) -> DataF
 #: Near-duplicate texts: 128 bits over runs of two words. Texts with 0.8 of their five-word shingles in common differ
 #: in some 12 bits, unrelated texts in 45 or more.
 WIDE_SEEDS, WIDE_WIDTH, WIDE_RADIUS = (42, 43), 2, 16
-#: Six segments of 22 bits (word, first bit) with balls of one bit; being 22 bits wide they hold few unrelated texts.
-WIDE_BITS, WIDE_SEGMENTS = 22, tuple((word, first) for word in (0, 1) for first in (0, 21, 42))
+#: Three segments of 22 bits (word, first bit) with balls of one bit; being 22 bits wide they hold few unrelated texts.
+WIDE_BITS, WIDE_SEGMENTS = 22, ((0, 0), (0, 42), (1, 21))
 
 #: Near duplicates share this much of their distinct runs of five words, as a fraction.
 ALIKE, ALIKE_WIDTH = (4, 5), 5
@@ -342,26 +342,33 @@ def missing_pairs(leading: DataFrame, roots: DataFrame) -> DataFrame:
     pair = (F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
     early = shared.filter("early")
     met = [early.filter("few").alias("x").join(shared.alias("y"), "run"), early.filter("not few").alias("x").join(shared.filter("few").alias("y"), "run")]
-    found = [m.filter(possible).select(*pair) for m in met]
-    return found[0].union(found[1]).distinct()
+    pairs = cut(met[0].filter(possible).select(*pair).union(met[1].filter(possible).select(*pair)).distinct())
+    # Of the two one's first runs end no later in the order than the other's; those that the other lacks there it lacks at all.
+    side = lambda name: leading.select(F.col("node").alias(name), F.col("n").alias(f"n_{name}"), F.col("runs").alias(f"runs_{name}"))
+    near = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("c", F.size(F.array_intersect("runs_a", "runs_b")))
+    lacks = lambda name: both * (F.col(f"n_{name}") - F.size(f"runs_{name}") + F.col("c")) >= part * (F.col("n_a") + F.col("n_b"))
+    return near.filter(lacks("a") | lacks("b")).select("a", "b")
 
 
 def near_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """For rows of ``id``, ``row`` and ``text``: their ``id``, ``row`` and ``first`` (id and row of their group's least)."""
     prints = cut(docs.select("id", "row", fingerprints(F.col("text")).alias("m")))
     words = F.struct("m.f0", "m.f1", "m.words")
-    distinct = prints.groupBy(words.alias("fp")).agg(F.min(F.struct("id", "row")).alias("first"), F.any_value("m.low").alias("low"))
-    nodes = cut(distinct.select("fp", "first", "low", F.monotonically_increasing_id().alias("node")))
+    distinct = prints.groupBy(words.alias("fp")).agg(F.min(F.struct("id", "row")).alias("first"))
+    nodes = cut(distinct.withColumn("node", F.monotonically_increasing_id()))
     named = nodes.select("node", "first.id", "first.row")
     keep = lambda pairs: alike(pairs, named, docs)
     wide = wide_links(nodes.select(F.struct("fp.f0", "fp.f1", "node").alias("fp")))
     links = keep(wide.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")))
     roots = components(links)
 
-    # Copies have their first one's runs and drop out in the join.
-    hot = hot_bits(nodes.select("low"))
+    # Copies count as often as they are there, which only makes their runs come later; then they drop out in the join.
+    hot = hot_bits(prints.select("m.low"))
     leading = docs.select("id", "row", leading_runs(F.col("text"), docs.sparkSession, hot).alias("l"))
-    leading = cut(_of_rows(leading, named).select("node", "l.*").dropDuplicates(["node"]))
+    leading = _of_rows(leading, named).select("node", "l.*")
+    if prints.groupBy("id", "row").count().filter("count > 1").limit(1).count():
+        leading = leading.dropDuplicates(["node"])
+    leading = cut(leading)
     more = keep(missing_pairs(leading, roots))
     if more.limit(1).count():
         roots = components(links.union(more))
