@@ -59,9 +59,11 @@ SIZE = len(FLOORS)
 #: Share of rows that the estimate rests on, and rows that a group of its own must have.
 CORE, MIN_GROUP = 0.75, 50
 #: After how many steps only the start of least determinant is followed.
-LEAD = 3
+LEAD = 2
 #: Starts, rows of a random one and their least share, the most concentration steps, and the fall of a log determinant that is none.
-STARTS, START_ROWS, START_SHARE, STEPS, STANDS = 4, 20, 0.02, 12, 1e-2
+STARTS, START_ROWS, START_SHARE, STEPS, STANDS = 3, 20, 0.02, 12, 1e-2
+#: Rows of statistics (nine numbers each) that a task of the estimate sums.
+TASK_ROWS = 100_000
 #: Share of clean rows, were they normal, that a group would lose.
 REJECT = 1e-7
 
@@ -285,6 +287,12 @@ def _measured(docs: DataFrame) -> DataFrame:
     return rows.withColumn("failed", base_failed(F.col("n_words"), F.col("n_repeat_words")))
 
 
+def _vectors(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """Group and vector of the rows that the estimate rests on, in few partitions, so that each sums many rows before the shuffle."""
+    few = rows.coalesce(-(-rows.count() // TASK_ROWS) or 1)
+    return with_vector(few.filter(~F.col("failed")), groups).filter(F.col("group").isNotNull()).select("group", *_X)
+
+
 def _judged(rows: DataFrame, groups: DataFrame, params: DataFrame) -> DataFrame:
     found = with_vector(rows, groups).join(broadcast_if_small(params), "group", "left").withColumn("distance", squared_distance())
     far = F.coalesce(F.col("distance") > chi_square_point(REJECT), F.lit(False))
@@ -297,7 +305,7 @@ def judge_quality(docs: DataFrame) -> DataFrame:
     named = docs.select(*(c for c in docs.columns if c in ("doc_id", "text", "lang", "source")))
     rows = cut(_measured(named).withColumn("doc", F.col("doc").dropFields("text")))
     groups = groups_of(rows)
-    params = estimate(with_vector(rows.filter(~F.col("failed")), groups).filter(F.col("group").isNotNull()).select("group", *_X))
+    params = estimate(_vectors(rows, groups))
     return _judged(rows, groups, params)
 
 
@@ -305,7 +313,7 @@ def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are kept. Texts are measured twice rather than shuffled."""
     rows = cut(_measured(docs.select("text", "lang", "source")).drop("doc"))
     groups = groups_of(rows)
-    params = estimate(with_vector(rows.filter(~F.col("failed")), groups).filter(F.col("group").isNotNull()).select("group", *_X))
+    params = estimate(_vectors(rows, groups))
     return _judged(_measured(docs), groups, params).filter("kept").select("doc.*")
 
 
