@@ -62,6 +62,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """Like :func:`cut`; the shuffle files it was made from go at once, not when the driver happens to collect its garbage.
+
+    A new frame is run, so none that the caller holds loses its files.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(name, None)
+    conf.set(name, "true")
+    try:
+        return cut(df.select("*"))
+    finally:
+        conf.set(name, before) if before is not None else conf.unset(name)
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df``, written as Parquet to a new folder beside the checkpoints and read again."""
     set_checkpoint_dir(df.sparkSession)

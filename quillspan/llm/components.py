@@ -10,17 +10,19 @@ execution can split the hub's rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.llm.common import cut
 
 
-def _large_star(links: DataFrame) -> DataFrame:
+def _large_star(links: DataFrame, write: Callable[[DataFrame], DataFrame]) -> DataFrame:
     both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select("b", "a"))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
     # Written first, so that both sides come to the join straight from a shuffle and a hub's rows can be split there.
-    return both.filter("v > u").join(cut(least), F.col("u") == F.col("w")).select(F.col("v").alias("a"), F.col("m").alias("b"))
+    return both.filter("v > u").join(write(least), F.col("u") == F.col("w")).select(F.col("v").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(links: DataFrame) -> DataFrame:
@@ -29,18 +31,18 @@ def _small_star(links: DataFrame) -> DataFrame:
     return moved.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least)
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, write: Callable[[DataFrame], DataFrame] = cut) -> DataFrame:
     """``node`` and ``root``, the smallest node of its component, for all nodes but the roots.
 
     ``links`` has columns a and b of one ordered type; the order within a link, repeats
-    and links of a node with itself don't matter.
+    and links of a node with itself don't matter. ``write`` keeps what a round has made.
     """
     larger, smaller = F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
-    now = cut(links.filter("a <> b").select(larger, smaller).distinct())
+    now = write(links.filter("a <> b").select(larger, smaller).distinct())
     state = None
     while True:
         sums = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
         if state == (sums[0], sums[1]):
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         state = (sums[0], sums[1])
-        now = cut(_small_star(_large_star(now).distinct()).distinct())
+        now = write(_small_star(_large_star(now, write).distinct()).distinct())

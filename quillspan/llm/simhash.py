@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillspan.llm.common import LOWER, UPPER, broadcast_if_small, cut, fresh, let_workers_import
+from quillspan.llm.common import LOWER, UPPER, broadcast_if_small, cut, fresh, let_workers_import, settled
 from quillspan.llm.components import components
 from quillspan.sources.tables import read_table
 
@@ -151,8 +151,11 @@ WIDE_BITS, WIDE_SEGMENTS = 22, ((0, 0), (0, 42), (1, 21))
 
 #: Near duplicates share this much of their distinct runs of five words, as a fraction.
 ALIKE, ALIKE_WIDTH = (4, 5), 5
-#: Runs that more texts begin with than ``HOT`` come last in the order of runs; they are marked in as many bits.
-HOT, HOT_BITS = 32, 1 << 22
+#: The more texts hold a run the later it comes in the order of runs: by ranks of one for each doubling from ``HOT`` texts on.
+#: Ranks are kept in so many places by the runs' last bits.
+HOT, PLACES = 8, 1 << 22
+#: Runs that a task counts at a time.
+COUNTED = 1 << 20
 
 
 def word_hashes(text: bytes | None) -> np.ndarray:
@@ -191,22 +194,21 @@ def first_runs(n: int) -> tuple[int, int]:
 
 
 def fingerprints(text: Column) -> Column:
-    """Struct of two SimHashes with different seeds, a hash of the words in order, and ``low``, runs of least hash.
+    """Struct of two SimHashes with different seeds and a hash of the words in order.
 
     Texts that differ in white space or the case of A-Z only have the same words.
     """
 
-    @F.pandas_udf("f0 long, f1 long, words long, low array<long>")
+    @F.pandas_udf("f0 long, f1 long, words long")
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in texts:
             rows = []
             for t in batch:
                 words = word_hashes(t)
                 prints = [simhash(run_hashes(words, WIDE_WIDTH, seed)) for seed in WIDE_SEEDS]
-                runs = shingles(words)
                 whole = np.frombuffer(xxhash.xxh64_digest(words.tobytes()), "<i8")[0]
-                rows.append([*prints, int(whole), runs[: first_runs(len(runs))[1]].view(np.int64)])
-            yield pd.DataFrame(rows, columns=["f0", "f1", "words", "low"])
+                rows.append([*prints, int(whole)])
+            yield pd.DataFrame(rows, columns=["f0", "f1", "words"])
 
     return of(text.cast("binary"))
 
@@ -222,40 +224,59 @@ def shingle_set(text: Column) -> Column:
     return of(text.cast("binary"))
 
 
-def hot_bits(low: DataFrame) -> np.ndarray:
-    """Bits that are set for the runs that more than ``HOT`` rows of ``low`` (arrays) hold, and by chance for some others.
+def _repeated(held: list[np.ndarray]) -> pd.DataFrame:
+    """The runs that several of ``held`` have, and how many."""
+    runs, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *held]), return_counts=True)
+    return pd.DataFrame({"run": runs[n > 1].view(np.int64), "n": n[n > 1]})
 
-    ``HOT_BITS`` bits leave the tasks, whatever the number of runs.
+
+def run_ranks(texts: DataFrame) -> np.ndarray:
+    """Ranks by place, four bits each: that of the most frequent run there, from 0 for at most ``HOT`` texts on.
+
+    Frequencies are sums over pieces of a task, without runs that a piece has once; so few runs move, and a run that many texts
+    hold is still seen, as some pieces have it twice. They only order the runs. ``PLACES`` ranks leave the tasks at most.
     """
-    hot = low.select(F.explode("low").alias("run")).groupBy("run").count().filter(F.col("count") > HOT)
-    bit = F.col("run").bitwiseAND(F.lit(HOT_BITS - 1).cast("long"))
-    one = F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int"))
-    words = hot.groupBy(F.call_function("div", bit, F.lit(64)).alias("at")).agg(F.bit_or(one).alias("bits")).collect()
-    out = np.zeros(HOT_BITS // 64, np.int64)
-    for row in words:
-        out[row["at"]] = row["bits"]
-    return out.view(np.uint64)
 
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
+        for batch in batches:
+            for t in batch["text"]:
+                held.append(shingles(word_hashes(t)))
+                size += len(held[-1])
+                if size >= COUNTED:
+                    yield _repeated(held)
+                    held, size = [], 0
+        yield _repeated(held)
+
+    counted = texts.select(F.col("text").cast("binary").alias("text")).mapInPandas(count, "run long, n long")
+    sums = counted.groupBy("run").agg(F.sum("n").alias("n")).filter(F.col("n") > HOT)
+    rank = F.least(F.floor(F.log2(F.col("n") / HOT)) + 1, F.lit(15)).cast("long")
+    place = F.col("run").bitwiseAND(F.lit(PLACES - 1).cast("long"))
+    ranks = sums.groupBy(place.alias("place")).agg(F.max(rank).alias("rank"))
+    shifted = F.call_function("shiftleft", F.col("rank"), (F.col("place") % 16 * 4).cast("int"))
+    words = ranks.groupBy(F.call_function("div", F.col("place"), F.lit(16)).alias("at")).agg(F.bit_or(shifted).alias("ranks"))
+    out = np.zeros(PLACES // 16, np.int64)
+    for row in words.collect():
+        out[row["at"]] = row["ranks"]
+    return out.view(np.uint64)
 
-def leading_runs(text: Column, spark, hot: np.ndarray) -> Column:
-    """Struct of ``n``, a text's distinct runs, ``runs``, its first ones, and ``early``, how many are enough against larger texts.
 
-    Runs that ``hot`` marks come last, else the order is that of their hashes.
-    """
-    shared = spark.sparkContext.broadcast(hot)
+def leading_runs(text: Column, spark, ranks: np.ndarray) -> Column:
+    """Struct of ``n``, a text's distinct runs, and ``runs``, its first ones, in the order of their ``ranks``, then hashes."""
+    shared = spark.sparkContext.broadcast(ranks)
 
-    @F.pandas_udf("n int, early int, runs array<long>")
+    @F.pandas_udf("n int, runs array<long>")
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        bits = shared.value
+        of_place = shared.value
         for batch in texts:
             rows = []
             for t in batch:
                 runs = shingles(word_hashes(t))
-                at = runs & np.uint64(HOT_BITS - 1)
-                last = (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
-                enough, early = first_runs(len(runs))
-                rows.append([len(runs), early, np.concatenate([runs[~last], runs[last]])[:enough].view(np.int64)])
-            yield pd.DataFrame(rows, columns=["n", "early", "runs"])
+                at = runs & np.uint64(PLACES - 1)
+                rank = of_place[(at >> np.uint64(4)).astype(np.int64)] >> ((at & np.uint64(15)) << np.uint64(2)) & np.uint64(15)
+                first = np.argsort(rank, kind="stable")[: first_runs(len(runs))[0]]
+                rows.append([len(runs), runs[first].view(np.int64)])
+            yield pd.DataFrame(rows, columns=["n", "runs"])
 
     return of(text.cast("binary"))
 
@@ -265,6 +286,7 @@ def wide_links(prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
 
     That is every pair with a segment within one bit of each other's, but for buckets with more than ``bucket`` members: those and
     who asks for them meet the least of all of these only, and members also the least of each 16 bits of the fingerprint.
+    Of two values that differ in one bit, the one that lacks it asks for the other.
     """
     fp, mask = F.col("fp"), F.lit((1 << WIDE_BITS) - 1).cast("long")
     x, y = F.col("x"), F.col("y")
@@ -276,14 +298,16 @@ def wide_links(prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
 
     count = range(len(WIDE_SEGMENTS))
     filed = prints.select("fp", F.explode(F.array(*(key(s, 0) for s in count))).alias("k"))
-    full = cut(filed.groupBy("k").count().filter(F.col("count") > bucket).select("k"))
+    full = settled(filed.groupBy("k").count().filter(F.col("count") > bucket).select("k"))
     none = F.lit(None).cast(prints.schema["fp"].dataType)
     table = filed.join(full, "k", "left_anti").select("k", fp.alias("y")).unionByName(full.withColumn("y", none))
-    asked = [key(s, m) for s in count for m in _ball(range(WIDE_BITS), 1)]
-    probes = prints.select(fp.alias("x"), F.explode(F.array(*asked)).alias("k"))
+    lacks = lambda s, bit: F.shiftrightunsigned(fp[f"f{WIDE_SEGMENTS[s][0]}"], WIDE_SEGMENTS[s][1] + bit).bitwiseAND(F.lit(1).cast("long")) == 0
+    asked = [key(s, 0) for s in count] + [F.when(lacks(s, bit), key(s, 1 << bit)) for s in count for bit in range(WIDE_BITS)]
+    probes = prints.select(fp.alias("x"), F.explode(F.array(*asked)).alias("k")).filter("k is not null")
     near = sum(F.bit_count(x[f"f{w}"].bitwiseXOR(y[f"f{w}"])) for w in (0, 1)) <= WIDE_RADIUS
-    met = probes.join(table, "k").filter(y.isNull() | ((x < y) & near))
-    met = cut(met.select("x", "y", F.when(y.isNull(), F.col("k")).alias("k")).distinct())
+    met = probes.join(table, "k").filter(y.isNull() | ((x != y) & near))
+    less, more = F.when(y < x, y).otherwise(x), F.when(y < x, x).otherwise(y)
+    met = settled(met.select(less.alias("x"), more.alias("y"), F.when(y.isNull(), F.col("k")).alias("k")).distinct())
     chunks = [
         F.shiftrightunsigned(x[f"f{w}"], 16 * c).bitwiseAND(F.lit(0xFFFF).cast("long")) + F.lit((4 * w + c) << 16)
         for w in (0, 1) for c in range(4)
@@ -305,19 +329,22 @@ def _of_rows(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     return rows.join(named, (F.col("row") == F.col("of_row")) & same_id).drop("of_row", "of_id")
 
 
-def alike(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+def alike(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, repeated: bool) -> DataFrame:
     """Those of ``pairs`` (a, b) of nodes whose texts share ``ALIKE`` of their runs of words or more, written.
 
-    ``nodes`` names each ``node``'s row of ``texts`` by ``id`` and ``row``. Only texts in a pair are read as sets.
+    ``nodes`` names each ``node``'s row of ``texts`` by ``id`` and ``row``, which several rows may have if ``repeated``.
+    Only texts in a pair are read as sets.
     """
-    pairs = cut(pairs)
+    pairs = settled(pairs)
     wanted = nodes.join(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "node").select("node", "id", "row")
-    found = _of_rows(texts, cut(wanted)).dropDuplicates(["node"])
-    sets = cut(found.select("node", shingle_set(F.col("text")).alias("set")))
+    found = _of_rows(texts, settled(wanted)).select("node", "text")
+    if repeated:
+        found = found.dropDuplicates(["node"])
+    sets = settled(found.select("node", shingle_set(F.col("text")).alias("set")))
     side = lambda name: sets.select(F.col("node").alias(name), F.col("set").alias(f"set_{name}"))
     both = F.size(F.array_intersect("set_a", "set_b"))
     enough = ALIKE[1] * both >= ALIKE[0] * (F.size("set_a") + F.size("set_b") - both)
-    return cut(pairs.join(side("a"), "a").join(side("b"), "b").filter(enough).select("a", "b"))
+    return settled(pairs.join(side("a"), "a").join(side("b"), "b").filter(enough).select("a", "b"))
 
 
 def missing_pairs(leading: DataFrame, roots: DataFrame) -> DataFrame:
@@ -328,23 +355,25 @@ def missing_pairs(leading: DataFrame, roots: DataFrame) -> DataFrame:
     only those that have it early are compared with the others; within a run's largest group none are.
     """
     part, both = ALIKE[0], sum(ALIKE)
-    placed = leading.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    runs = placed.select("node", "root", "n", "early", F.posexplode("runs").alias("at", "run"))
-    runs = runs.select("run", "node", "root", "n", "at", (F.col("at") < F.col("early")).alias("early"))
-    several = runs.groupBy("run").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.max("early").alias("early"))
-    several = cut(several.filter("least <> most and early").select("run"))
-    shared = cut(runs.join(broadcast_if_small(several), "run"))
+    placed = leading.join(broadcast_if_small(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    runs = placed.select(F.posexplode("runs").alias("at", "run"), "node", "root", "n")
+    early = F.col("at") < F.col("n") - F.ceil(2 * part * F.col("n") / F.lit(both)) + 1  # as in first_runs
+    of_run = Window.partitionBy("run")  # so that each run is moved once
+    sums = {"least": F.min("root").over(of_run), "most": F.max("root").over(of_run), "any": F.max("early").over(of_run)}
+    shared = settled(runs.withColumn("early", early).withColumns(sums).filter("least <> most and any").drop(*sums))
     by_root = shared.groupBy("run", "root").count()
     largest = by_root.groupBy("run").agg(F.max(F.struct("count", "root"))["root"].alias("largest"))
-    shared = cut(shared.join(broadcast_if_small(cut(largest)), "run").withColumn("few", F.col("root") != F.col("largest")).drop("largest"))
+    shared = settled(shared.join(broadcast_if_small(settled(largest)), "run").withColumn("few", F.col("root") != F.col("largest")).drop("largest"))
     behind = lambda side: both * (F.col(f"{side}.n") - F.col(f"{side}.at")) >= part * (F.col("x.n") + F.col("y.n"))
     possible = (F.col("x.root") != F.col("y.root")) & (F.col("x.n") <= F.col("y.n")) & behind("x") & behind("y")
     pair = (F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
     early = shared.filter("early")
     met = [early.filter("few").alias("x").join(shared.alias("y"), "run"), early.filter("not few").alias("x").join(shared.filter("few").alias("y"), "run")]
-    pairs = cut(met[0].filter(possible).select(*pair).union(met[1].filter(possible).select(*pair)).distinct())
+    pairs = settled(met[0].filter(possible).select(*pair).union(met[1].filter(possible).select(*pair)).distinct())
     # Of the two one's first runs end no later in the order than the other's; those that the other lacks there it lacks at all.
-    side = lambda name: leading.select(F.col("node").alias(name), F.col("n").alias(f"n_{name}"), F.col("runs").alias(f"runs_{name}"))
+    ends = broadcast_if_small(settled(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()))
+    paired = settled(leading.join(ends, "node"))
+    side = lambda name: paired.select(F.col("node").alias(name), F.col("n").alias(f"n_{name}"), F.col("runs").alias(f"runs_{name}"))
     near = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("c", F.size(F.array_intersect("runs_a", "runs_b")))
     lacks = lambda name: both * (F.col(f"n_{name}") - F.size(f"runs_{name}") + F.col("c")) >= part * (F.col("n_a") + F.col("n_b"))
     return near.filter(lacks("a") | lacks("b")).select("a", "b")
@@ -352,27 +381,28 @@ def missing_pairs(leading: DataFrame, roots: DataFrame) -> DataFrame:
 
 def near_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """For rows of ``id``, ``row`` and ``text``: their ``id``, ``row`` and ``first`` (id and row of their group's least)."""
-    prints = cut(docs.select("id", "row", fingerprints(F.col("text")).alias("m")))
+    prints = settled(docs.select("id", "row", fingerprints(F.col("text")).alias("m")))
     words = F.struct("m.f0", "m.f1", "m.words")
     distinct = prints.groupBy(words.alias("fp")).agg(F.min(F.struct("id", "row")).alias("first"))
-    nodes = cut(distinct.withColumn("node", F.monotonically_increasing_id()))
+    nodes = settled(distinct.withColumn("node", F.monotonically_increasing_id()))
     named = nodes.select("node", "first.id", "first.row")
-    keep = lambda pairs: alike(pairs, named, docs)
+    repeated = prints.groupBy("id", "row").count().filter("count > 1").limit(1).count() > 0
+    keep = lambda pairs: alike(pairs, named, docs, repeated)
     wide = wide_links(nodes.select(F.struct("fp.f0", "fp.f1", "node").alias("fp")))
     links = keep(wide.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")))
-    roots = components(links)
+    roots = components(links, settled)
 
     # Copies count as often as they are there, which only makes their runs come later; then they drop out in the join.
-    hot = hot_bits(prints.select("m.low"))
-    leading = docs.select("id", "row", leading_runs(F.col("text"), docs.sparkSession, hot).alias("l"))
+    ranks = run_ranks(docs)
+    leading = docs.select("id", "row", leading_runs(F.col("text"), docs.sparkSession, ranks).alias("l"))
     leading = _of_rows(leading, named).select("node", "l.*")
-    if prints.groupBy("id", "row").count().filter("count > 1").limit(1).count():
+    if repeated:
         leading = leading.dropDuplicates(["node"])
-    leading = cut(leading)
+    leading = settled(leading)
     more = keep(missing_pairs(leading, roots))
     if more.limit(1).count():
-        roots = components(links.union(more))
-    placed = cut(nodes.join(roots, "node", "left").select("fp", "first", F.coalesce("root", "node").alias("root")))
+        roots = components(links.union(more), settled)
+    placed = settled(nodes.join(roots, "node", "left").select("fp", "first", F.coalesce("root", "node").alias("root")))
     least = placed.groupBy("root").agg(F.min("first").alias("least"))
     groups = placed.join(least, "root").select("fp", "least")
     return prints.select("id", "row", words.alias("fp")), groups
@@ -383,7 +413,7 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
 
     Groups are the components of all pairs of texts that share ``ALIKE`` of their distinct runs of five words. Fingerprints
     within ``WIDE_RADIUS`` bits find most such pairs. The others are found without fail: any two texts that much
-    alike begin with a common run, in an order of all runs that has frequent ones last; texts that do
+    alike begin with a common run, in an order of all runs that has the more frequent ones later; texts that do
     are compared if fingerprints have left them in different groups. So of a run's texts that are all in one group no pair is
     looked at. Of rows with equal ids and words the one with the least hash of all its columns stays.
     """
@@ -393,8 +423,8 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     prints, groups = near_groups(docs.select(id_.alias("id"), row.alias("row"), "text"))
     stays = groups.select("least.id", "least.row").distinct()
     keys = prints.groupBy("id", "row").count()
-    goes = cut(keys.join(stays, ["id", "row"], "left_anti").select("id", "row"))
-    again = cut(keys.filter("count > 1").join(stays, ["id", "row"], "left_semi").select("id", "row"))
+    goes = settled(keys.join(stays, ["id", "row"], "left_anti").select("id", "row"))
+    again = settled(keys.filter("count > 1").join(stays, ["id", "row"], "left_semi").select("id", "row"))
     id_name, row_name = fresh(docs, "id"), fresh(docs, "row")
     rows = docs.withColumns({id_name: id_, row_name: row})
     named = lambda some: broadcast_if_small(some.select(F.col("id").alias(id_name), F.col("row").alias(row_name)))

@@ -8,6 +8,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from quillspan.llm import simhash as S
+from quillspan.llm.common import settled
 from quillspan.llm.components import components
 
 
@@ -220,3 +221,31 @@ def test_ties_nulls_and_clashing_columns(spark):
 def test_ball_sizes():
     assert len(S._ball(range(64), 1)) == 65 and len(S._ball(range(32, 64), 2)) == 1 + 32 + 32 * 31 // 2
     assert np.array(S._ball(range(64), 1), np.int64).dtype == np.int64
+
+
+def test_few_pairs_of_a_crowd_that_is_hardly_alike_are_looked_at(spark, monkeypatch):
+    """Versions of one text, most less alike than 0.8: runs that many of them have come last, so few pairs meet."""
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for _ in range(240):
+        words = list(base)
+        for at in rng.sample(range(120), rng.randrange(6, 14)):
+            words[at] = f"v{at}x{rng.randrange(3)}"
+        texts.append(" ".join(words))
+    looked = []
+    real = S.missing_pairs
+    monkeypatch.setattr(S, "missing_pairs", lambda *a: (pairs := real(*a), looked.append(pairs.count()))[0])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    kept = sorted(r["doc_id"] for r in S.drop_near_duplicates(docs).collect())
+    root = exact_groups(texts)
+    assert kept == sorted(set(root.values())) and len(kept) > 150
+    assert looked[0] < 240 * 239 / 2 / 20
+
+
+def test_settled_keeps_the_setting(spark):
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    frame = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    got = settled(frame)
+    assert got.count() == frame.count() == 7 and spark.conf.get(name, None) == before
