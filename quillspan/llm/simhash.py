@@ -401,7 +401,8 @@ def near_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     leading = settled(leading)
     more = keep(missing_pairs(leading, roots))
     if more.limit(1).count():
-        roots = components(links.union(more), settled)
+        stars = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))  # they say what the links said
+        roots = components(stars.union(more), settled)
     placed = settled(nodes.join(roots, "node", "left").select("fp", "first", F.coalesce("root", "node").alias("root")))
     least = placed.groupBy("root").agg(F.min("first").alias("least"))
     groups = placed.join(least, "root").select("fp", "least")

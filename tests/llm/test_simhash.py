@@ -47,6 +47,26 @@ def test_components_equal_union_find(spark, seed):
     assert components(links.limit(0)).count() == 0
 
 
+def test_few_links_make_few_tasks(spark):
+    held = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {name: spark.conf.get(name) for name in held}
+    context, status = spark.sparkContext, spark.sparkContext.statusTracker()
+    links = settled(spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)], "a long, b long"))
+    try:
+        for name, value in held.items():
+            spark.conf.set(name, value)
+        context.setJobGroup("components", "few links")
+        got = {r.node: r.root for r in components(links, settled).collect()}
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert got == {**{i: 0 for i in range(1, 41)}, **{i: 100 for i in range(101, 140)}}
+    stages = {s for job in status.getJobIdsForGroup("components") for s in status.getJobInfo(job).stageIds}
+    tasks = sum(info.numCompletedTasks for s in stages if (info := status.getStageInfo(s)))
+    assert tasks < 2000
+
+
 def test_fingerprints_equal_brute_force(spark, monkeypatch):
     rng = random.Random(3)
     texts = [" ".join(rng.choice(["The", "É", "cat", "x\x85y", "\x0b"]) for _ in range(rng.randrange(12))) for _ in range(150)]
