@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 
 from quillspan.llm.common import cut
 
-
 #: Links to a task, and tasks that there may be at any rate.
 TASK_LINKS, TASKS = 20_000, 8
 
